@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import table
-from . import format_duplicates
+from ..functions import text
+from ..session import cut, spread, table
+from . import bpe, format_duplicates, residue, truth
 
 
 def _p1_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -37,9 +38,87 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("g").alias("table_name"), "first_id", "copies")
 
 
+# ---- p6: best representative ------------------------------------------------------
+
+# What stands for a missing location (compared in lower case, trimmed).
+NO_LOCATION = (
+    "", "-", "--", "---", "?", "??", ".", "n/a", "na", "n.a.", "null", "none", "nan", "unknown", "not specified",
+    "unspecified", "tbd", "tba", "see ad", "see advert", "k.a.", "k. a.", "ukendt", "okänd", "unbekannt", "inconnu",
+    "non précisé", "sconosciuto", "desconocido", "desconhecido", "onbekend", "not stated", "not given", "undefined",
+    "various", "blank", "missing", "s.d.", "n.n.",
+)
+# End of fixed values.
+
+
+def _p6_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boards = table(spark, sf_dir, "boards").select(
+        F.lower(F.trim("source")).alias("source"), F.col("trust_rank").cast("int").alias("rank")
+    ).groupBy("source").agg(F.min("rank").alias("rank"))
+    listings = table(spark, sf_dir, "listings").select(
+        "listing_id", "title", "company", "location", "posted", "fetched_at",
+        F.lower(text.normalise_text(F.col("source"))).alias("source"),
+    ).where((text.normalise_title(F.col("title")) != "") & (text.normalise_text(F.col("company")) != ""))
+    place = F.lower(text.normalise_text(F.col("location")))
+    keyed = listings.select(
+        text.vacancy_key(F.col("company"), F.col("title")).alias("grp"),
+        F.col("listing_id").alias("id"), F.col("fetched_at").alias("at"), "source",
+        F.explode(F.array(
+            F.struct(F.lit("location").alias("field"), F.when(~place.isin(*NO_LOCATION), place).alias("value")),
+            F.struct(F.lit("posted").alias("field"),
+                     F.when(F.col("posted") <= F.to_date("fetched_at"), F.col("posted").cast("string")).alias("value")),
+        )).alias("c"),
+    ).select("grp", "id", "at", "source", "c.field", "c.value")
+    return keyed.join(boards, "source", "left")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = cut(_p6_claims(spark, sf_dir))
+    sizes = claims.groupBy("grp").agg(F.min("id").alias("group_id"), F.max("id").alias("last_id")).where("group_id < last_id")
+    truths, _ = truth.discover(claims.join(sizes.select("grp"), "grp", "left_semi"))
+    best = truths.groupBy("grp").agg(
+        F.max(F.when(F.col("field") == "location", F.col("id"))).alias("location_id"),
+        F.max(F.when(F.col("field") == "posted", F.col("id"))).alias("posted_id"),
+    ).where(F.col("location_id").isNotNull() & F.col("posted_id").isNotNull())
+    return best.join(sizes, "grp").select("group_id", "location_id", "posted_id")
+
+
+def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reliability of each board, estimated without the declared ranks."""
+    claims = _p6_claims(spark, sf_dir).withColumn("rank", F.lit(None).cast("int"))
+    _, sources = truth.discover(claims)
+    return sources
+
+
+# ---- p7: token ids ----------------------------------------------------------------
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+# ---- p9: residue ------------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return residue.residue(docs).select(F.col("doc").alias("doc_id")).distinct()
+
+
+def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residue messages by kind with their documents' count and spread over sources."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = residue.message_table(residue.messages(docs))
+    return found.where(F.col("kind").isNotNull()).select("message", "kind", "uses", "sources")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p6_found": p6_found,
+    "p6_reliability": p6_reliability,
+    "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_messages": p9_messages,
 }
 
 _P1_SQL = r"""
