@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..session import cut, spread, table
-from . import bpe, format_duplicates, residue, truth
+from . import bpe, format_duplicates, leak, residue, truth
 
 
 def _p1_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -96,6 +96,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
+# ---- p8: leaked passages ----------------------------------------------------------
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leak.leaks(docs, table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
 # ---- p9: residue ------------------------------------------------------------------
 
 
@@ -117,6 +125,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_reliability": p6_reliability,
     "p7_ids": p7_ids,
+    "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_messages": p9_messages,
 }
