@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..session import cut, spread, table
-from . import bpe, format_duplicates, leak, residue, truth
+from . import bpe, format_duplicates, gazetteer, leak, residue, truth
 
 
 def _p1_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +38,23 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("g").alias("table_name"), "first_id", "copies")
 
 
+# ---- p3: places -------------------------------------------------------------------
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listings = spread(table(spark, sf_dir, "listings").select("listing_id", "location"))
+    mapped = gazetteer.map_values(listings, table(spark, sf_dir, "places"), "listing_id", "location")
+    return mapped.select("listing_id", "place_id")
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values that mean no entry of the list, with their number of listings."""
+    listings = spread(table(spark, sf_dir, "listings").select("listing_id", "location"))
+    none = gazetteer.map_values(listings, table(spark, sf_dir, "places"), "listing_id", "location").where("place_id = 0")
+    value = F.lower(text.normalise_text(F.col("location")))
+    return none.join(listings, "listing_id").groupBy(value.alias("value")).agg(F.count("*").alias("listings"))
+
+
 # ---- p6: best representative ------------------------------------------------------
 
 # What stands for a missing location (compared in lower case, trimmed).
@@ -122,6 +139,8 @@ def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p3_found": p3_found,
+    "p3_unmatched": p3_unmatched,
     "p6_found": p6_found,
     "p6_reliability": p6_reliability,
     "p7_ids": p7_ids,
