@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..session import cut, spread, table
-from . import bpe, format_duplicates, gazetteer, leak, residue, truth
+from . import bpe, doclang, format_duplicates, gazetteer, leak, residue, truth
 
 
 def _p1_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -38,6 +38,25 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("g").alias("table_name"), "first_id", "copies")
 
 
+# ---- p2: languages ----------------------------------------------------------------
+
+
+def _p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listings = spread(table(spark, sf_dir, "listings").select("listing_id", "description", "url"))
+    labels = table(spark, sf_dir, "language_evidence").select("listing_id", "ad_language")
+    return doclang.segments(listings, labels, "listing_id", "description", "url", "ad_language")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = F.col("mixed") | F.col("declared").isNull() | (F.col("declared") != F.col("lang"))
+    return _p2_segments(spark, sf_dir).where(wrong).select("listing_id", "line_no", "lang")
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every advert with its confidence."""
+    return _p2_segments(spark, sf_dir).select("listing_id", "line_no", "lang", "confidence")
+
+
 # ---- p3: places -------------------------------------------------------------------
 
 
@@ -139,6 +158,8 @@ def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
     "p6_found": p6_found,
