@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..session import cut, spread, table
-from . import bpe, doclang, format_duplicates, gazetteer, leak, residue, truth
+from . import bpe, doclang, format_duplicates, gazetteer, leak, names, residue, truth
 
 
 def _p1_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +74,19 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return none.join(listings, "listing_id").groupBy(value.alias("value")).agg(F.count("*").alias("listings"))
 
 
+# ---- p5: employer spellings -------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs_of(names.link(table(spark, sf_dir, "seen_jobs"), "company_key"))
+
+
+def p5_employers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling of an employer in the listings, with the employer's least spelling."""
+    listings = table(spark, sf_dir, "listings").select(text.company_key(F.col("company")).alias("company_key"))
+    return names.link(listings, "company_key").select(F.col("name").alias("company_key"), F.col("entity").alias("employer"))
+
+
 # ---- p6: best representative ------------------------------------------------------
 
 # What stands for a missing location (compared in lower case, trimmed).
@@ -162,6 +175,8 @@ QUERIES = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p5_found": p5_found,
+    "p5_employers": p5_employers,
     "p6_found": p6_found,
     "p6_reliability": p6_reliability,
     "p7_ids": p7_ids,
