@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..session import cut, spread, table
-from . import bpe, doclang, format_duplicates, gazetteer, leak, names, residue, truth
+from . import bpe, doclang, format_duplicates, gazetteer, history, leak, names, residue, truth
 
 
 def _p1_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +74,22 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return none.join(listings, "listing_id").groupBy(value.alias("value")).agg(F.count("*").alias("listings"))
 
 
+# ---- p4: new batches against history ----------------------------------------------
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("title", "company", "location")
+    seen = table(spark, sf_dir, "seen_jobs").select(F.col("record_id").alias("id"), *columns)
+    new = table(spark, sf_dir, "arrivals").select(F.col("record_id").alias("id"), *columns)
+    reader, employers = history.setup(seen.unionByName(new), table(spark, sf_dir, "places"))
+    old = cut(history.prepare(seen, reader, employers))
+    _, accepted = history.absorb(None, old, reader)
+    # Batches are ordered by record_id, so one pass over all gives what batch by batch gives.
+    batch = cut(history.prepare(new, reader, employers))
+    matches, _ = history.absorb(accepted, batch, reader)
+    return matches.select(F.col("accepted").alias("accepted_id"), F.col("id").alias("record_id"))
+
+
 # ---- p5: employer spellings -------------------------------------------------------
 
 
@@ -175,6 +191,7 @@ QUERIES = {
     "p2_segments": p2_segments,
     "p3_found": p3_found,
     "p3_unmatched": p3_unmatched,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_employers": p5_employers,
     "p6_found": p6_found,
