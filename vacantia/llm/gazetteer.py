@@ -34,11 +34,12 @@ from .strings import fold, fold_spelled, osa
 
 MAX_NAMES = 100_000
 VALUE_TABLE = 200_000
-# Country names in their own language by code, and words around a place.
+# Country names in English and their own language by code, and words around a place.
 ENDONYMS = {
-    "DK": ("danmark",), "SE": ("sverige",), "NO": ("norge",), "FI": ("suomi", "finland"), "DE": ("deutschland",), "NL": ("nederland", "holland"),
-    "FR": ("la france", "france"), "IT": ("italia",), "ES": ("espana",), "PT": ("portugal",), "IE": ("eire", "ireland"), "AT": ("osterreich",),
-    "BE": ("belgie", "belgique"), "CH": ("schweiz", "suisse"), "PL": ("polska",), "GB": ("uk", "united kingdom", "england"), "US": ("usa", "united states"),
+    "DK": ("danmark", "denmark"), "SE": ("sverige", "sweden"), "NO": ("norge", "norway"), "FI": ("suomi", "finland"), "DE": ("deutschland", "germany"),
+    "NL": ("nederland", "netherlands", "holland"), "FR": ("la france", "france"), "IT": ("italia", "italy"), "ES": ("espana", "spain"), "PT": ("portugal",),
+    "IE": ("eire", "ireland"), "AT": ("osterreich", "austria"), "BE": ("belgie", "belgique", "belgium"), "CH": ("schweiz", "suisse", "switzerland"),
+    "PL": ("polska", "poland"), "GB": ("uk", "united kingdom", "england"), "US": ("usa", "united states"),
 }
 NOISE = frozenset(
     "remote hybrid or and near greater area region metro centrum city centre center mitte raum og omegn og omland home office work from fully on site onsite"

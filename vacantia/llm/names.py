@@ -137,12 +137,12 @@ def _word_cost(a: str, b: str) -> tuple[int, bool] | None:
 
 
 def _merges(words: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """The words with neighbours joined in every way (of at most five words)."""
+    """The words with neighbours joined in every way (of at most five words; initials stay apart)."""
     if len(words) > 5:
         return [words, ("".join(words),)]
     out = [()]
     for i, w in enumerate(words):
-        out = [x + (w,) for x in out] + ([x[:-1] + (x[-1] + w,) for x in out] if i else [])
+        out = [x + (w,) for x in out] + ([x[:-1] + (x[-1] + w,) for x in out if len(w) > 1 and len(x[-1]) > 1] if i else [])
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..plans import sql as d
 from ..session import cut, spread, table
 from . import bpe, doclang, format_duplicates, gazetteer, history, leak, names, residue, truth
 
@@ -217,7 +218,19 @@ WITH r AS (
 ), m AS (SELECT t, id, min(id) OVER (PARTITION BY t, lo, hi) AS first_id, count(*) OVER (PARTITION BY t, lo, hi) AS copies FROM g)
 """
 
+_P6_SQL = f"""
+WITH b AS (SELECT lower(trim(source)) AS source, min(trust_rank) AS trust FROM boards GROUP BY 1),
+k AS (SELECT listing_id, {d.company_key("company")} || '|' || {d.title_key("title")} AS grp, lower({d.norm("source")}) AS source,
+  lower({d.norm("location")}) AS place, posted, fetched_at FROM listings WHERE {d.norm_title("title")} <> '' AND {d.norm("company")} <> ''),
+g AS (SELECT *, min(listing_id) OVER (PARTITION BY grp) AS group_id, count(*) OVER (PARTITION BY grp) AS n FROM k),
+j AS (SELECT g.*, coalesce(trust, 2147483647) AS trust FROM g LEFT JOIN b USING (source) WHERE n > 1),
+x AS (SELECT group_id, first(listing_id ORDER BY trust, fetched_at DESC, listing_id) FILTER (WHERE place NOT IN ({", ".join(d.q(v) for v in NO_LOCATION)})) AS location_id,
+  first(listing_id ORDER BY trust, fetched_at DESC, listing_id) FILTER (WHERE posted <= cast(fetched_at AS DATE)) AS posted_id FROM j GROUP BY group_id)
+SELECT group_id, location_id, posted_id FROM x WHERE location_id IS NOT NULL AND posted_id IS NOT NULL
+"""
+
 ORACLE: dict[str, str] = {
+    "p6_found": _P6_SQL,
     "p1_found": _P1_SQL + "SELECT t AS table_name, first_id, id AS copy_id FROM m WHERE id <> first_id",
     "p1_counts": _P1_SQL + "SELECT DISTINCT t AS table_name, first_id, copies FROM m",
 }
