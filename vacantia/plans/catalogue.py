@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import dates, text
-from ..operators import entity, filters, lang, rank, report, store
+from ..operators import entity, evidence, filters, lang, rank, report, store
 from ..session import ensure_checkpoint_dir, spread, table
 from ..sources import parse
 from ..streaming import seen as seen_stream
@@ -365,6 +365,15 @@ def english_workplace(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", lang.english_workplace(F.col("text")).alias("english_workplace"))
 
 
+@query()
+def language_evidence(spark, sf_dir):
+    """Languages each advert states as required, preferred or waived (no SQL: nearest cue by position)."""
+    ads = spread(table(spark, sf_dir, "listings").select("listing_id", "description"))
+    plain = ads.select("listing_id", text.normalise_description(F.col("description")).alias("t"))
+    out = evidence.read_evidence(plain, "listing_id", "t")
+    return out.select("listing_id", "ad_language", *[F.array_join(c, ",").alias(c) for c in ("required", "preferred", "waived")], "english_workplace")
+
+
 # ---- ranking and report -----------------------------------------------------------
 
 _SETTINGS = rank.Settings(keywords=("tester", "qa"), avoid={"sap": 10})
