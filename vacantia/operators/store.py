@@ -107,3 +107,43 @@ def priors(vacs: DataFrame, seen: DataFrame) -> DataFrame:
     return exact.unionByName(other).groupBy("vacancy_key").agg(F.max_by(F.struct("r", "exact"), order).alias("p")).select(
         "vacancy_key", F.col("p.r.record_id").alias("prior_id"), F.col("p.exact").alias("exact"), F.col("p.r.status").alias("status")
     )
+
+
+def set_status(events: DataFrame, seen: DataFrame, key: str, status: str, at: str, note: str = "") -> DataFrame:
+    """The event to append when a vacancy's status is set; none for an unknown vacancy.
+
+    events: vacancy_key, status, status_at, note, seq. A status belongs to the vacancy, so
+    all its listings move together; an unknown status is an error.
+    """
+    if status not in STATUSES:
+        raise ValueError(f"unknown status {status!r}")
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).scalar()
+    return seen.where(F.col("vacancy_key") == key).select("vacancy_key").limit(1).select(
+        "vacancy_key", F.lit(status).alias("status"), F.lit(at).cast("date").alias("status_at"), F.lit(note).alias("note"), (last + 1).cast("bigint").alias("seq")
+    )
+
+
+def folded_status(events: DataFrame, seen: DataFrame) -> DataFrame:
+    """(vacancy_key, status, status_at, note): the last event of each vacancy, 'new' without one."""
+    last = events.groupBy("vacancy_key").agg(F.max_by(F.struct("status", "status_at", "note"), "seq").alias("e"))
+    return seen.select("vacancy_key").distinct().join(last, "vacancy_key", "left").select(
+        "vacancy_key", F.coalesce("e.status", F.lit("new")).alias("status"), F.col("e.status_at").alias("status_at"), F.coalesce("e.note", F.lit("")).alias("note")
+    )
+
+
+def backdate(seen: DataFrame, fingerprint: str, day: str) -> DataFrame:
+    """first_seen of one listing moved back to a day, never forward."""
+    earlier = F.least("first_seen", F.lit(day).cast("timestamp_ntz"))
+    return seen.withColumn("first_seen", F.when(F.col("fingerprint") == fingerprint, earlier).otherwise(F.col("first_seen")))
+
+
+def single_vacancy(matches: DataFrame) -> str | None:
+    """The vacancy key all matches share, None if they are of several or none (two rows reach the driver)."""
+    keys = matches.select("vacancy_key").distinct().limit(2).collect()
+    return keys[0][0] if len(keys) == 1 else None
+
+
+def same_vacancy_elsewhere(listing: DataFrame, seen: DataFrame) -> DataFrame:
+    """Seen rows of the same vacancy under another fingerprint."""
+    k = listing.select("vacancy_key", F.col("fingerprint").alias("own")).distinct()
+    return seen.join(k, "vacancy_key").where(F.col("fingerprint") != F.col("own")).drop("own")
