@@ -16,6 +16,11 @@ named columns are read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.skew import skew_join
@@ -54,7 +59,7 @@ ABOUT = (
 )
 EXPLAINED = rf"{ABOUT}.{{0,40}}?(?:{PLACEHOLDER})|(?:{PLACEHOLDER}).{{0,20}}?{ABOUT}"
 _VOID = r"(?:undefined|null|\(null\)|NaN|None|#REF!|#N/A|#VALUE!|#NAME\?|\[object Object\]|Invalid Date|nil)"
-EMPTY_VALUE = "|".join((
+EMPTY_VALUE = "(?i)" + "|".join((
     r"#REF!|#VALUE!|#NAME\?|\[object Object\]",
     rf"(?:^|[.!?] )(?:\p{{Lu}}[\p{{L}}/ ]{{1,24}}):\s*{_VOID}(?![\p{{L}}\p{{N}}])",
     rf"(?i:posted on|welcome to|hi|hej|hello|dear|bonjour|sehr geehrte/r|hallo|hola|ciao|olá|reply to|about|apply before|start date)\s+{_VOID}\s*[,.!]?(?:\s|$)",
@@ -75,8 +80,8 @@ _KEYS = "asdf|asdfg|asdfgh|asdfghjkl|qwer|qwert|qwerty|qwertyuiop|zxcv|zxcvb|zxc
 FILLER = "|".join((
     rf"(?i)(?<!\p{{L}})(?:(?:{_LATIN})[\s,.]+){{3,}}(?:{_LATIN})(?!\p{{L}})",
     rf"(?i)(?<!\p{{L}})(?:(?:{_KEYS})\s+){{2,}}(?:{_KEYS})(?!\p{{L}})",
-    r"(?i)(?<!\p{L})(\p{L}{2,})(?:[\s,.]+\1){3,}(?!\p{L})",
-    r"(?i)(?<!\p{L})(\p{L}{2,}\s+\p{L}{2,})(?:[\s,.]+\2){2,}(?!\p{L})",
+    r"(?i)(?<!\p{L})(\p{L}{2,}+)(?:[\s,.]++\1){3,}(?!\p{L})",
+    r"(?i)(?<!\p{L})(\p{L}{2,}+\s++\p{L}{2,}+)(?:[\s,.]++\2){2,}(?!\p{L})",
     r"(?i)lorem ipsum dolor",
     r"(?i)(?:^|[.!?\-*•]\s+|\s)(?:Heading \d+|Paragraph text \d+|Bullet point (?:one|two|three|four|five|\d+))(?!\p{L})",
     r"(?i)\byour (?:content|text|copy) (?:goes )?here\b",
@@ -115,23 +120,42 @@ SCRIPTS_REQUIRED = "|".join((
     r"(?i)\bloading\.\.\.",
 ))
 #: A unit without any of these can be no message: a cheap test before anything is moved.
-TRIGGER = (
-    r"[{}<>\[\]«»@#%$|_]|&lt;|[Xx]{4}|(?i:to be (?:inserted|added|confirmed|filled|announced)|undefined|null|\bnan\b|none|invalid date|#n/a|\bnil\b"
-    rf"|(?<!\p{{L}})(?:{_LATIN})[\s,.]+(?:{_LATIN})(?!\p{{L}})|(?<!\p{{L}})(?:{_KEYS})\s+(?:{_KEYS})|(?<!\p{{L}})(\p{{L}}{{2,}})[\s,.]+\1(?!\p{{L}})"
-    r"|(\p{L}{2,}\s+\p{L}{2,})[\s,.]+\2|heading|paragraph text|bullet point|here\b|placeholder|copy to follow|coming soon|publishing|replaced|blindtext|tekst|texte?\b|testo"
-    r"|error|4\d\d|5\d\d|traceback|exception|fault|failed|went wrong|request id|maintenance|denied|permission|session|log in again|traffic|human|robot|checking your"
-    r"|page|pagina|página|seite|siden|sidan|script|browser|loading|salary:|location:|dear|hi ,|hej|ref:|:\s*$)"
+#: One automaton looks for all of them at once; only repeated words need a pattern.
+TRIGGERS = (
+    "{", "}", "<", "[", "«", "@@", "#", "%", "$", "*|", "__", "_placeholder", "&lt;", "xxxx", "to be inserted", "to be added", "to be confirmed", "to be filled", "to be announced",
+    "undefined", "null", "nan", "none", "invalid date", "nil", "lorem", "ipsum", "dolor", "sit ", "amet", "velit", "vesti", "porta", "porti", "pharet", "gravi", "mollum", "sodal", "sedum",
+    "blandi", "ferment", "erat", "congue", "tempora", "aliquet", "quisquam", "minim", "lacus", "asdf", "qwer", "zxcv", "hjkl", "jkl", "uiop", "yxcv", "heading", "paragraph text",
+    "bullet point", "here", "placeholder", "copy to follow", "coming soon", "publishing", "replaced", "blindtext", "text", "tekst", "texto", "testo", "error", "fehler", "erreur", "fejl", "felk",
+    "not found", "forbidden", "unauthorized", "bad ", "gateway", "timeout", "too many", "gone", "status", "message:", "traceback", "exception", "fault", "failed", "went wrong", "request id",
+    "maintenance", "shortly", "denied", "permission", "session", "log in again", "traffic", "human", "robot", "checking your", "page", "pagina", "página", "seite", "siden", "sidan",
+    "script", "browser", "loading", "title:", "location:", "reports to:", "deadline:", "ansøgningsfrist:", "start date:", "salary:", "| ref:", "dear ,", "hi ,", "hej ,", "hello ,", "bonjour ,", "hallo ,",
 )
 # End of fixed values.
 
 KINDS = (("placeholder", PLACEHOLDER), ("empty_value", EMPTY_VALUE), ("filler", FILLER), ("error_page", ERROR_PAGE), ("scripts_required", SCRIPTS_REQUIRED))
 
 
-def units(text: Column) -> Column:
-    """Lines, cut at sentence ends; white space within is collapsed."""
-    t = F.regexp_replace(text, r"(?U)[\s&&[^\n\r]]+", " ")
-    lines = F.split(t, r"(?:\r\n|\r|\n)+|(?<=[.!?][)\"”]?) (?=[\p{Lu}{\[<«$#%@*_(])", -1)
-    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
+_SPACE = re.compile(r"[^\S\n\r]+")
+_CUT = re.compile(r"[\r\n]+|(?<=[.!?]) (?=[^\W\d_a-zß-öø-ÿ{\[]|[{\[<«$#%@*_(])|(?<=[.!?][)\"”]) (?=[^\W\d_a-zß-öø-ÿ{\[]|[{\[<«$#%@*_(])")
+_REPEAT = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,}+)[\s,.]++\1(?![^\W\d_])|(?<![^\W\d_])([^\W\d_]{2,}+\s++[^\W\d_]{2,}+)[\s,.]++\2(?![^\W\d_])")
+
+
+def _automaton():
+    a = ahocorasick.Automaton()
+    for t in TRIGGERS:
+        a.add_word(t, 1)
+    a.make_automaton()
+    return a
+
+
+def units(text: str) -> list[str]:
+    """Lines, cut at sentence ends before a capital or a mark; white space within is collapsed."""
+    return [u for u in (x.strip() for x in _CUT.split(_SPACE.sub(" ", text))) if u]
+
+
+def could_be_message(unit: str, triggers) -> bool:
+    low = unit.lower()
+    return next(triggers.iter(low), None) is not None or _REPEAT.search(low) is not None
 
 
 def mask(unit: Column) -> Column:
@@ -157,10 +181,22 @@ def classify(message: Column) -> Column:
 def messages(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str | None = "source") -> DataFrame:
     """(doc, source, hash, message): the masked units that could be messages."""
     src = F.col(source) if source else F.lit(None).cast("string")
+    todo = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), src.alias("source"), F.col(text).alias("t"))
+    kind = todo.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        triggers = _automaton()
+        for df in batches:
+            at, found = [], []
+            for i, t in enumerate(df["t"]):
+                for u in units(t):
+                    if could_be_message(u, triggers):
+                        at.append(i)
+                        found.append(u)
+            yield pd.DataFrame({"doc": df["doc"].to_numpy()[at], "source": df["source"].to_numpy()[at], "unit": found})
+
     return (
-        documents.where(F.col(text).isNotNull())
-        .select(F.col(key).alias("doc"), src.alias("source"), F.explode(units(F.col(text))).alias("unit"))
-        .where(F.col("unit").rlike(TRIGGER))
+        todo.mapInPandas(run, f"doc {kind}, source string, unit string")
         .select("doc", "source", mask(F.col("unit")).alias("message"))
         .withColumn("hash", F.xxhash64("message"))
     )
@@ -184,7 +220,8 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     """
     # Only units that could be messages are kept, and they are read twice below.
     found = cut(messages(documents, key, text, source))
-    kinds = message_table(found).where(F.col("kind").isNotNull()).select("hash", "message", "kind", "uses", "sources")
+    # Classified once: the table is small and the join below reads it several times.
+    kinds = cut(message_table(found).where(F.col("kind").isNotNull()).select("hash", "message", "kind", "uses", "sources"))
     return (
         skew_join(found, kinds, ["hash", "message"], "uses", F.col("doc"))
         .groupBy("doc", "kind").agg(F.count("*").alias("messages"), F.max("sources").alias("widest"))
