@@ -52,6 +52,7 @@ ABBREVIATIONS = {
     "engrg": ("engineering",), "solns": ("solutions",), "intl": ("international",), "mgmt": ("management",), "cons": ("consulting",), "acct": ("accounting",),
     "arch": ("architects",), "pmts": ("payments",), "pmt": ("payments",), "rx": ("pharma",), "sec": ("security",), "svcs": ("services",), "grp": ("group",),
 }
+SAME_TRADE = {"pharmaceuticals": "pharma", "technology": "technologies"}
 NICKNAMES = {
     "bob": "robert", "rob": "robert", "bobby": "robert", "bill": "william", "will": "william", "wim": "william", "lisa": "elisabeth", "liz": "elisabeth", "beth": "elisabeth",
     "else": "elisabeth", "ella": "elisabeth", "betty": "elisabeth", "kaja": "katarina", "kat": "katarina", "kate": "katarina", "karin": "katarina", "trine": "katarina",
@@ -69,7 +70,7 @@ NICKNAMES = {
 def _trade(word: str, late: bool) -> frozenset[str]:
     """The trades a word may stand for; abbreviations count behind the first word only."""
     if word in TRADES:
-        return frozenset((word,))
+        return frozenset((SAME_TRADE.get(word, word),))
     if not late:
         return frozenset()
     if word in ABBREVIATIONS:
@@ -78,8 +79,8 @@ def _trade(word: str, late: bool) -> frozenset[str]:
     for t in TRADES:
         if len(word) >= 6 and len(t) >= 6 and osa(word, t, 2 if len(t) >= 9 else 1) <= (2 if len(t) >= 9 else 1):
             out.add(t)
-        elif 2 <= len(word) <= 6 and t.startswith(word) and len(word) < len(t):
-            out.add(t)
+        elif 2 <= len(word) <= 8 and t.startswith(word) and len(word) < len(t):
+            out.add(SAME_TRADE.get(t, t))
         elif 3 <= len(word) <= 5 and word[0] == t[0] and word[-1] == t[-1] and len(word) < len(t) - 1 and _within(word, t):
             out.add(t)
     return frozenset(out)
@@ -102,11 +103,19 @@ def parse(name: str) -> tuple[tuple[str, ...], tuple[frozenset[str], ...]]:
     words = name.split()
     while len(words) > 1 and words[-1] in ADDITIONS:
         words.pop()
+    while len(words) > 2 and words[0] in ADDITIONS:
+        words = words[1:]
+    # Reordered names carry the trade in front, also a shortened one.
+    # (a split-off beginning of a word is followed by a short rest, not by whole words).
+    head = words[0] if words else ""
+    short = head in ABBREVIATIONS or (len(head) >= 3 and any(t.startswith(head) for t in TRADES - {head}))
+    if len(words) >= 3 and short and head not in TRADES and head not in NICKNAMES and all(len(w) >= 5 and not _trade(w, True) for w in words[1:]):
+        return tuple(words[1:]), (_trade(head, True),)
     core: list[str] = []
     trades: list[frozenset[str]] = []
     for i, w in enumerate(words):
         # An abbreviation stands at the end: only trades and additions may follow it.
-        tail = all(x in TRADES or x in ADDITIONS or len(x) <= 6 for x in words[i + 1 :])
+        tail = all(x in ADDITIONS or _trade(x, True) for x in words[i + 1 :])
         t = _trade(w, bool(core) and tail and (i > 1 or len(words) == 2 or len(core[0]) > 8))
         if t and (core or w in TRADES):
             trades.append(t)
@@ -137,12 +146,13 @@ def _word_cost(a: str, b: str) -> tuple[int, bool] | None:
 
 
 def _merges(words: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """The words with neighbours joined in every way (of at most five words; initials stay apart)."""
+    """The words with neighbours joined in every way, in either order (of at most five words; initials stay apart)."""
     if len(words) > 5:
         return [words, ("".join(words),)]
     out = [()]
     for i, w in enumerate(words):
-        out = [x + (w,) for x in out] + ([x[:-1] + (x[-1] + w,) for x in out if len(w) > 1 and len(x[-1]) > 1] if i else [])
+        joined = [x for x in out if i and len(w) > 1 and len(x[-1]) > 1]
+        out = [x + (w,) for x in out] + [x[:-1] + (x[-1] + w,) for x in joined] + [x[:-1] + (w + x[-1],) for x in joined]
     return out
 
 
@@ -169,6 +179,16 @@ def compare(x: str, y: str) -> int:
     letters = min(sum(map(len, ca)), sum(map(len, cb)))
     if letters < 5:
         return 2 if x == y else 0
+    left, right = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
+    rest = list(right)
+    for t in left:
+        fit = next((r for r in rest if r & t), None)
+        if fit is None:
+            return 0
+        rest.remove(fit)
+    # Whole words on both sides: two edits change the number of letters by two at most.
+    if abs(sum(map(len, ca)) - sum(map(len, cb))) > 2 and min(map(len, ca + cb)) > 5:
+        return 0
     best = None
     for a in _merges(ca):
         for b in _merges(cb):
@@ -179,22 +199,17 @@ def compare(x: str, y: str) -> int:
             if got and got[0] <= 2 and (got[1] == 0 or (got[1] == 1 and sum(len(w) for w in a if len(w) > 5) >= 10)):
                 if best is None or sum(got) < sum(best):
                     best = got
+        if best == (0, 0):
+            break
     if best is None:
         return 0
-    left, right = (ta, tb) if len(ta) <= len(tb) else (tb, ta)
-    rest = list(right)
-    for t in left:
-        fit = next((r for r in rest if r & t), None)
-        if fit is None:
-            return 0
-        rest.remove(fit)
     return 1 if rest or best[1] else 2
 
 
 def _index_words(name: str) -> list[str]:
     core, _ = parse(name)
     out = {w for w in core if len(w) >= 3}
-    out |= {core[i] + core[i + 1] for i in range(len(core) - 1)}
+    out |= {core[i] + core[i + 1] for i in range(len(core) - 1)} | {core[i + 1] + core[i] for i in range(len(core) - 1)}
     if len(core) <= 4:
         out.add("".join(core))
     return sorted(out or {name})
