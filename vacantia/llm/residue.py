@@ -203,13 +203,12 @@ def messages(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
 
 
 def message_table(found: DataFrame) -> DataFrame:
-    """(hash, message, kind, docs, sources): each distinct message once, classified."""
+    """(hash, message, uses, sources, kind): each distinct message once, classified."""
     per_source = found.groupBy("hash", "message", "source").agg(F.count("*").alias("uses"))
-    return (
-        per_source.groupBy("hash", "message")
-        .agg(F.sum("uses").alias("uses"), F.count("source").alias("sources"))
-        .withColumn("kind", classify(F.col("message")))
-    )
+    # Cut before the rules: a test of the kind would otherwise be moved below the grouping
+    # and run on every unit instead of on every distinct message.
+    grouped = cut(per_source.groupBy("hash", "message").agg(F.sum("uses").alias("uses"), F.count("source").alias("sources")))
+    return grouped.withColumn("kind", classify(F.col("message")))
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str | None = "source") -> DataFrame:
