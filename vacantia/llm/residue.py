@@ -219,8 +219,10 @@ def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", sourc
     """
     # Only units that could be messages are kept, and they are read twice below.
     found = cut(messages(documents, key, text, source))
-    # Classified once: the table is small and the join below reads it several times.
-    kinds = cut(message_table(found).where(F.col("kind").isNotNull()).select("hash", "message", "kind", "uses", "sources"))
+    # Classified once, and stored before the test of the kind: what is known of a filtered
+    # table would otherwise be inferred for the other side of the join and computed there.
+    classified = cut(message_table(found))
+    kinds = classified.where(F.col("kind").isNotNull()).select("hash", "message", "kind", "uses", "sources")
     return (
         skew_join(found, kinds, ["hash", "message"], "uses", F.col("doc"))
         .groupBy("doc", "kind").agg(F.count("*").alias("messages"), F.max("sources").alias("widest"))
