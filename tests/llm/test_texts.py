@@ -3,6 +3,7 @@
 import base64
 import os
 import random
+import re
 
 import pytest
 
@@ -176,3 +177,67 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
     wide = {r["message"]: (r["uses"], r["sources"]) for r in residue.message_table(residue.messages(df)).collect() if r["kind"]}
     assert wide["Hej {{first_name}},"] == (2, 2)
+
+
+def matches_of(rule: str, n: int):
+    """Texts of a rule's form: every alternative at least once, repetitions at random."""
+    plain = rule.replace("(?i)", "").replace("(?i:", "(?:")
+    tree = re._parser.parse(re.sub(r"\\p\{\w+\}", r"\\w", plain))
+    rnd, turns = random.Random(9), {}
+
+    def next_of(node, choices):
+        turns[id(node)] = turns.get(id(node), rnd.randrange(len(choices))) + 1
+        return choices[turns[id(node)] % len(choices)]
+
+    def text(seq, groups):
+        out = ""
+        for op, arg in seq:
+            match str(op):
+                case "LITERAL":
+                    out += chr(arg)
+                case "IN":
+                    kind, value = next_of(arg, arg)
+                    out += rnd.choice({"LITERAL": lambda: chr(value), "RANGE": lambda: chr(value[0]), "CATEGORY": lambda: {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "04"}.get(str(value), "Qk")}[str(kind)]())
+                case "BRANCH":
+                    out += text(next_of(arg[1], arg[1]), groups)
+                case "SUBPATTERN":
+                    got = text(arg[3], groups)
+                    groups[arg[0]] = got
+                    out += got
+                case "MAX_REPEAT" | "MIN_REPEAT" | "POSSESSIVE_REPEAT":
+                    out += "".join(text(arg[2], groups) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 1))))
+                case "GROUPREF":
+                    out += groups[arg]
+                case "ANY":
+                    out += "."
+                case "ASSERT" | "ASSERT_NOT" | "AT":
+                    pass
+                case other:
+                    raise ValueError(other)
+        return out
+
+    for _ in range(n):
+        yield text(tree, {})
+
+
+@pytest.mark.parametrize("kind, rule", residue.KINDS)
+def test_every_match_of_a_rule_could_be_a_message(kind, rule):
+    triggers = residue._automaton()
+    lost = set()
+    for t in matches_of(rule, 20_000):
+        # White space of a unit is collapsed.
+        unit = " ".join(t.split())
+        if not all(residue.could_be_message(u, triggers) for u in (unit, unit.upper())):
+            lost.add(unit)
+    assert not lost
+
+
+def test_messages_the_gate_dropped(spark):
+    rows = [
+        "503 Service Unavailable", "Sehr geehrte/r ,", "Stack trace: at a.b", "This is a dummy copy", "This is a sample copy", "Donec etiam mauris proin", "consectetur adipiscing elit sed",
+        '"code": 502', "Title :", "Reports to : -", "Seller |Ref:", "Nunc, orci, augue, turpis.",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").selectExpr("*", "'s' AS source")
+    assert {r["doc"] for r in residue.residue(df).collect()} == set(range(len(rows)))
+    clean = spark.createDataFrame([(1, "Kind regards", "s")], "doc_id bigint, text string, source string")
+    assert residue.residue(clean).count() == 0
