@@ -165,6 +165,30 @@ def test_link_names(spark):
     assert names.link(df.limit(0), "company").count() == 0
 
 
+def test_names_of_a_hot_block_meet(spark, monkeypatch):
+    rnd = random.Random(6)
+    word = lambda: rnd.choice("acdeghijklmnop") + "".join(rnd.choices("aeioulnrstv", k=rnd.randint(3, 7)))
+    want = [("f castellanova", "frederik castellanova"), ("bob castellanova", "robert castellanova"), ("castellanova", "castellanovo")]
+    all_names = {n for p in want for n in p}
+    while len(all_names) < 250:
+        w = word()
+        all_names |= {f"{w} castellanova", rnd.choice([f"castellanova {w}", f"{w[0]} castellanova", f"{w[:-1]} castellanova law", f"{w[:2]} {w[2:]} castellanova", f"{w}castellanova", f"{w[1:]} castel lanova"])}
+    assert len(all_names) > names.HOT
+    df = spark.createDataFrame([(n,) for n in sorted(all_names)], "name string")
+    meeting = lambda: {(r["a"], r["b"]) for r in names.candidates(df).collect()}
+    met = meeting()
+    monkeypatch.setattr(names, "HOT", 10**6)
+    whole = meeting()
+    accepted = {p for p in whole if names.compare(*p)}
+    assert len(accepted) > 100 and accepted <= met
+    # The test of letters drops pairs, and none that is accepted.
+    assert met < whole
+    monkeypatch.undo()
+    far = [n for n in all_names if n[:2] not in ("f ", "b ")]
+    linked = {(r["key_a"], r["key_b"]) for r in names.pairs_of(names.link(df.where(F.col("name").isin(far + ["f castellanova"])), "name")).collect()}
+    assert set(want) <= linked
+
+
 # ---- p6 ----
 
 CLAIM = "grp string, field string, source string, value string, at timestamp, id bigint, rank int"

@@ -12,8 +12,10 @@ spelling lead to one and the same name: "F. Noravol" joins nobody while both a F
 and a Francisca Noravol exist. Links are closed by connected components.
 
 No bucket is expanded into all its pairs: within a bucket of the index every word is
-linked to the bucket's most frequent word only. Words of very many names (``HOT``) block
-only together with another word of the name.
+linked to the bucket's most frequent word only. The names of a block all meet. A block of
+very many names (``HOT``) is joined in parts, and a test of letters that every accepted
+pair passes comes before the comparison; its cost still grows with the square of the names
+that share one word.
 
 Defined cases: null and empty names are no names and have no row; names are compared as
 given (callers fold them); a name without any other spelling is in no pair; repeated
@@ -33,7 +35,7 @@ from ..operators.components import connected_components
 from ..session import cut
 from .strings import osa
 
-#: Distinct names sharing a word above which the word blocks only in pairs.
+#: Distinct names of a block above which it is joined in parts of about as many names.
 HOT = 200
 WEAK_ROUNDS = 2
 # Words for a trade or form of organisation, additions, abbreviations, nicknames.
@@ -215,9 +217,22 @@ def _index_words(name: str) -> list[str]:
     return sorted(out or {name})
 
 
-def link(names: DataFrame, name: str) -> DataFrame:
-    """(name, entity): every name that has another spelling, with its entity's least name."""
-    distinct = cut(names.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct())
+def _shape(name: str) -> tuple[int, int, bool]:
+    """(letters, set of letters, short): what two edits can change only so far.
+
+    Without a short word or nickname on either side no word stands for another, so an
+    accepted pair is two edits apart: two letters in length, four in the set of letters.
+    Letters share the 63 places of the set; that only lets more pairs through.
+    """
+    core, _ = parse(name)
+    mask = 0
+    for c in set("".join(core)):
+        mask |= 1 << (ord(c) % 63)
+    return sum(map(len, core)), mask, any(len(w) <= 5 or w in NICKNAMES for w in core)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of distinct names that share a block."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -234,17 +249,32 @@ def link(names: DataFrame, name: str) -> DataFrame:
     near = index.join(top, "bucket").select("word", F.col("top.word").alias("block"), F.col("top.df").alias("size")).distinct()
     # The most frequent word of a bucket comes to know how many names its block gets.
     blocks = by_word.join(near, "word").select("name", "block").distinct()
-    sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("members")), "block")
+    sized = cut(blocks.join(blocks.groupBy("block").agg(F.count("*").alias("members")), "block"))
     single = sized.where(F.col("members") <= HOT).select("name", "block")
-    hot = sized.where(F.col("members") > HOT).select("name", F.col("block").alias("hot"))
-    paired = hot.join(blocks, "name").where(F.col("hot") != F.col("block")).select(
-        "name", F.concat_ws(" ", F.least("hot", "block"), F.greatest("hot", "block")).alias("block")
-    )
-    use = cut(single.unionByName(paired).distinct())
-    pairs = (
-        use.alias("l").join(use.alias("r"), F.expr("l.block = r.block AND l.name < r.name"))
-        .select(F.col("l.name").alias("a"), F.col("r.name").alias("b")).distinct()
+    pairs = single.alias("l").join(single.alias("r"), F.expr("l.block = r.block AND l.name < r.name")).select(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            letters, mask, short = zip(*map(_shape, df["name"])) if len(df) else ((), (), ())
+            yield df.assign(letters=pd.array(letters, dtype="int32"), mask=pd.array(mask, dtype="int64"), short=pd.array(short, dtype="bool"))
+
+    hot = cut(
+        sized.where(F.col("members") > HOT).select("name", "block", F.ceil(F.col("members") / HOT).alias("parts"))
+        .mapInPandas(shapes, "name string, block string, parts bigint, letters int, mask bigint, short boolean")
     )
+    left = hot.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
+    right = hot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    many = left.alias("l").join(right.alias("r"), F.expr(
+        "l.block = r.block AND l.part = r.part AND l.name < r.name"
+        " AND (l.short OR r.short OR (abs(l.letters - r.letters) <= 2 AND bit_count(l.mask ^ r.mask) <= 4))"
+    )).select(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
+    return pairs.unionByName(many).distinct()
+
+
+def link(names: DataFrame, name: str) -> DataFrame:
+    """(name, entity): every name that has another spelling, with its entity's least name."""
+    distinct = cut(names.select(F.col(name).alias("name")).where(F.trim("name") != "").distinct())
+    pairs = candidates(distinct)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
