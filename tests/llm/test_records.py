@@ -111,6 +111,12 @@ def test_history_batches(spark):
     assert history.absorb(table, prep(new.limit(0)), reader)[0].count() == 0
 
 
+@pytest.mark.parametrize("known", [{}, {"qa": 9, "engineer": 9, "eng": 5}, {"qa": 900, "engineer": 9, "eng": 700}])
+def test_short_forms_at_any_count(known):
+    reader = history.TitleReader(known)
+    assert reader.read("QA Eng", "") == reader.read("QA Engineer", "") == reader.read("QA Eng.", "") == ("", "engineer qa")
+
+
 def test_pivot_join_loses_no_pair(spark):
     rnd = random.Random(5)
     titles = sorted({"".join(rnd.choices("abcd ", k=rnd.randint(3, 9))).strip() or "a" for _ in range(150)})
