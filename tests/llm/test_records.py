@@ -171,6 +171,26 @@ def test_link_names(spark):
     assert names.link(df.limit(0), "company").count() == 0
 
 
+def test_long_names_in_any_order():
+    words = "bisuvex drebatan lokeser lekukan hinilol grotinis".split()
+    assert names.compare(" ".join(words), " ".join(reversed(words))) == 2
+    assert names.compare(" ".join(words), " ".join(words[3:] + ["bisuvx", "drebatan", "lokseer"])) == 2
+    assert names.compare(" ".join(words), " ".join(words[1:] + ["vumavin"])) == 0
+    rnd = random.Random(3)
+    for _ in range(3000):
+        a, b = (tuple(rnd.choice(["bisuvex", "bisuve", "bisuvxe", "b", "bisu", "isuvex", "drebatan"]) for _ in range(4)) for _ in "ab")
+        x, y = names._assign(a, b), names._assign_many(a, b)
+        assert (x is None) == (y is None) and (x is None or sum(x) == sum(y))
+
+
+def test_weak_links_to_the_end(spark):
+    # Each weak link decides only once the one before it is settled.
+    chain = ["drebatan lokeser" + t for t in ("", " law", " law marine", " law marine design")]
+    df = spark.createDataFrame([(n,) for n in chain], "name string")
+    again = names.link(df, "name")
+    assert {r["entity"] for r in again.collect()} == {min(chain)} and again.count() == len(chain)
+
+
 def test_names_of_a_hot_block_meet(spark, monkeypatch):
     rnd = random.Random(6)
     word = lambda: rnd.choice("acdeghijklmnop") + "".join(rnd.choices("aeioulnrstv", k=rnd.randint(3, 7)))

@@ -37,7 +37,6 @@ from .strings import osa
 
 #: Distinct names of a block above which it is joined in parts of about as many names.
 HOT = 200
-WEAK_ROUNDS = 2
 # Words for a trade or form of organisation, additions, abbreviations, nicknames.
 TRADES = frozenset(
     "engineering marine research analytics security insurance energy diagnostics networks software pharma pharmaceuticals foods logistics interactive systems instruments "
@@ -160,8 +159,10 @@ def _merges(words: tuple[str, ...]) -> list[tuple[str, ...]]:
 
 def _assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int] | None:
     """(edits, words that stand for others) of the best one-to-one alignment."""
+    if len(a) > 4:
+        return _assign_many(a, b)
     best = None
-    for p in permutations(range(len(b))) if len(a) <= 4 else [range(len(b))]:
+    for p in permutations(range(len(b))):
         edits = stands = 0
         for x, j in zip(a, p):
             c = _word_cost(x, b[j])
@@ -175,6 +176,39 @@ def _assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int] | None:
     return best
 
 
+def _assign_many(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int] | None:
+    """The same for any number of words: each word in turn by a cheapest augmenting path."""
+    n = len(a)
+    costs = [[_word_cost(x, y) for y in b] for x in a]
+    if any(all(c is None for c in row) for row in costs):
+        return None
+    far = 1000 * n  # beyond any alignment of words that match
+    price = [[far if c is None else c[0] + c[1] for c in row] for row in costs]
+    u, v, of = [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    for i in range(n):
+        of[n], j = i, n
+        least, back, done = [float("inf")] * n, [n] * n, [False] * (n + 1)
+        while of[j] >= 0:
+            done[j] = True
+            row = of[j]
+            for k in range(n):
+                if not done[k] and price[row][k] - u[row] - v[k] < least[k]:
+                    least[k], back[k] = price[row][k] - u[row] - v[k], j
+            to = min((k for k in range(n) if not done[k]), key=lambda k: least[k])
+            step = least[to]
+            for k in range(n + 1):
+                if done[k]:
+                    u[of[k]] += step
+                    v[k] -= step
+                elif k < n:
+                    least[k] -= step
+            j = to
+        while j != n:
+            of[j], j = of[back[j]], back[j]
+    got = [costs[of[k]][k] for k in range(n)]
+    return None if None in got else (sum(c[0] for c in got), sum(c[1] for c in got))
+
+
 def compare(x: str, y: str) -> int:
     """2 for a strong link, 1 for a weak one, 0 for none."""
     (ca, ta), (cb, tb) = parse(x), parse(y)
@@ -289,17 +323,19 @@ def link(names: DataFrame, name: str) -> DataFrame:
         F.when(F.col("a_less"), F.col("b")).otherwise(F.col("a")).alias("more"),
     )
     edges = links.where("s = 2").select("a", "b")
-    # Names that weak links join can be the one name that further weak links lead to.
-    for _ in range(WEAK_ROUNDS):
+    # Names that weak links join can be the one name that further weak links lead to. Each
+    # round that goes on joins components, so the rounds end.
+    while True:
         of = connected_components(edges)
         placed = (
             weak.join(of.select(F.col("node").alias("less"), F.col("component").alias("cl")), "less", "left")
             .join(of.select(F.col("node").alias("more"), F.col("component").alias("cm")), "more", "left")
             .select(F.coalesce("cl", "less").alias("cl"), F.coalesce("cm", "more").alias("cm")).where("cl <> cm").distinct()
         )
-        held = placed.groupBy("cl").agg(F.count("*").alias("k"), F.min("cm").alias("cm")).where("k = 1").select(F.col("cl").alias("a"), F.col("cm").alias("b"))
+        held = cut(placed.groupBy("cl").agg(F.count("*").alias("k"), F.min("cm").alias("cm")).where("k = 1").select(F.col("cl").alias("a"), F.col("cm").alias("b")))
+        if held.isEmpty():
+            return of.select(F.col("node").alias("name"), F.col("component").alias("entity"))
         edges = cut(edges.unionByName(held))
-    return connected_components(edges).select(F.col("node").alias("name"), F.col("component").alias("entity"))
 
 
 def pairs_of(entities: DataFrame) -> DataFrame:
