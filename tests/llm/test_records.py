@@ -217,18 +217,19 @@ def test_names_of_a_hot_block_meet(spark, monkeypatch):
 
 # ---- p6 ----
 
-CLAIM = "grp string, field string, source string, value string, at timestamp, id bigint, rank int"
+CLAIM = "grp string, source string, f string, e string, at timestamp, id bigint, rank int, first_id string"
 
 
 def test_truth_by_rank(spark):
     t = lambda d: dt.datetime(2025, 1, d)
     rows = [
-        ("g", "f", "low", "A", t(9), 1, 9), ("g", "f", "low2", "A", t(9), 2, 8), ("g", "f", "top", "B", t(1), 3, 1), ("g", "f", "top", "C", t(2), 5, 1), ("g", "f", "top", "D", t(2), 4, 1),
-        ("g", "e", "low", None, t(1), 6, 9), ("h", "f", None, "X", None, 7, None), (None, "f", "top", "Y", t(1), 8, 1), ("g", "f", "top", "D", t(2), 4, 1),
+        ("g", "low", "A", None, t(9), 1, 9), ("g", "low2", "A", None, t(9), 2, 8), ("g", "top", "B", None, t(1), 3, 1), ("g", "top", "C", None, t(2), 5, 1), ("g", "top", "D", None, t(2), 4, 1),
+        ("g", "low", None, None, t(1), 6, 9), ("h", None, "X", "Y", None, 7, None), (None, "top", "Y", None, t(1), 8, 1), ("g", "top", "D", None, t(2), 4, 1),
     ]
-    truths, _ = truth.discover(spark.createDataFrame(rows, CLAIM))
-    assert sorted((r["grp"], r["field"], r["value"], r["id"]) for r in truths.collect()) == [("g", "f", "D", 4), ("h", "f", "X", 7)]
-    assert truth.discover(spark.createDataFrame([], CLAIM))[0].count() == 0
+    df = spark.createDataFrame([(*r, "clash") for r in rows], CLAIM)
+    truths, _ = truth.discover(truth.gather(df, ["f", "e"]), ["f", "e"])
+    assert sorted(map(tuple, truths.collect())) == [("g", 1, 6, 4, "D", None, None), ("h", 7, 7, 7, "X", 7, "Y")]
+    assert truth.discover(truth.gather(df.limit(0), ["f"]), ["f"])[0].count() == 0
 
 
 def test_truth_learns_who_is_right(spark):
@@ -236,8 +237,18 @@ def test_truth_learns_who_is_right(spark):
     rows = []
     for g in range(60):
         for s, p in (("good1", 0.95), ("good2", 0.9), ("bad1", 0.2), ("bad2", 0.2), ("bad3", 0.2)):
-            rows.append((f"g{g}", "f", s, "right" if rnd.random() < p else f"wrong{rnd.randint(0, 2)}", dt.datetime(2025, 1, 1), len(rows), None))
-    truths, sources = truth.discover(spark.createDataFrame(rows, CLAIM))
+            rows.append((f"g{g}", s, "right" if rnd.random() < p else f"wrong{rnd.randint(0, 2)}", None, dt.datetime(2025, 1, 1), len(rows), None, ""))
+    df = spark.createDataFrame(rows, CLAIM)
+    truths, sources = truth.discover(truth.gather(df, ["f"]), ["f"])
     w = {r["source"]: r["reliability"] for r in sources.collect()}
     assert min(w["good1"], w["good2"]) > max(w["bad1"], w["bad2"], w["bad3"])
-    assert truths.where(F.col("value") == "right").count() >= 56
+    assert truths.where(F.col("f") == "right").count() >= 56
+    # Of one declared rank: the estimates decide, also against more votes of a worse rank.
+    ranked = df.withColumn("rank", F.when(F.col("source").startswith("good"), 1).otherwise(2))
+    right = {r["grp"] for r in rows_of(df, "good1", "right").intersect(rows_of(df, "good2", "right")).collect()}
+    got = {r["grp"] for r in truth.discover(truth.gather(ranked, ["f"]), ["f"])[0].where("f = 'right'").collect()}
+    assert right <= got
+
+
+def rows_of(df, source, value):
+    return df.where((F.col("source") == source) & (F.col("f") == value)).select("grp")

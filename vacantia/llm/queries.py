@@ -126,32 +126,25 @@ def _p6_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where((text.normalise_title(F.col("title")) != "") & (text.normalise_text(F.col("company")) != ""))
     place = F.lower(text.normalise_text(F.col("location")))
     keyed = listings.select(
-        text.vacancy_key(F.col("company"), F.col("title")).alias("grp"),
-        F.col("listing_id").alias("id"), F.col("fetched_at").alias("at"), "source",
-        F.explode(F.array(
-            F.struct(F.lit("location").alias("field"), F.when(~place.isin(*NO_LOCATION), place).alias("value")),
-            F.struct(F.lit("posted").alias("field"),
-                     F.when(F.col("posted") <= F.to_date("fetched_at"), F.col("posted").cast("string")).alias("value")),
-        )).alias("c"),
-    ).select("grp", "id", "at", "source", "c.field", "c.value")
+        text.vacancy_key(F.col("company"), F.col("title")).alias("grp"), F.col("listing_id").alias("id"), F.col("fetched_at").alias("at"), "source",
+        F.when(~place.isin(*NO_LOCATION), place).alias("location"),
+        F.when(F.col("posted") <= F.to_date("fetched_at"), F.col("posted").cast("string")).alias("posted"),
+    )
     return keyed.join(boards, "source", "left")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = cut(_p6_claims(spark, sf_dir))
-    sizes = claims.groupBy("grp").agg(F.min("id").alias("group_id"), F.max("id").alias("last_id")).where("group_id < last_id")
-    truths, _ = truth.discover(claims.join(sizes.select("grp"), "grp", "left_semi"))
-    best = truths.groupBy("grp").agg(
-        F.max(F.when(F.col("field") == "location", F.col("id"))).alias("location_id"),
-        F.max(F.when(F.col("field") == "posted", F.col("id"))).alias("posted_id"),
-    ).where(F.col("location_id").isNotNull() & F.col("posted_id").isNotNull())
-    return best.join(sizes, "grp").select("group_id", "location_id", "posted_id")
+    groups = truth.gather(_p6_claims(spark, sf_dir), ["location", "posted"]).where("first_id < last_id")
+    truths, _ = truth.discover(groups, ["location", "posted"])
+    return truths.where(F.col("location_id").isNotNull() & F.col("posted_id").isNotNull()).select(
+        F.col("first_id").alias("group_id"), "location_id", "posted_id"
+    )
 
 
 def p6_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reliability of each board, estimated without the declared ranks."""
     claims = _p6_claims(spark, sf_dir).withColumn("rank", F.lit(None).cast("int"))
-    _, sources = truth.discover(claims)
+    _, sources = truth.discover(truth.gather(claims, ["location", "posted"]), ["location", "posted"])
     return sources
 
 
