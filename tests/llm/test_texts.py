@@ -241,3 +241,14 @@ def test_messages_the_gate_dropped(spark):
     assert {r["doc"] for r in residue.residue(df).collect()} == set(range(len(rows)))
     clean = spark.createDataFrame([(1, "Kind regards", "s")], "doc_id bigint, text string, source string")
     assert residue.residue(clean).count() == 0
+
+
+def test_recurrence_tells_unlisted_notices(spark):
+    notice = "Sorry, listing {} cannot be displayed right now, please reload or come back later, reference {}."
+    say = "We test what happens when the page cannot be displayed in the browser of customer {}."
+    rows = [(i, "Own words here.\n" + notice.format(i, 7 * i), f"s{i % 4}") for i in range(12)] + [(100 + i, say.format(i), f"s{i % 4}") for i in range(12)]
+    # The same wording in one source only, and too seldom, is told by nothing.
+    rows += [(200 + i, f"This form could not load; please try again, visitor {i}.", "s1") for i in range(12)]
+    rows += [(300 + i, f"The portal is offline, please check at {i} o'clock.", f"s{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {(r["doc"], r["kind"]) for r in residue.residue(df).collect()} == {(i, "notice") for i in range(12)}

@@ -175,7 +175,7 @@ def p9_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residue messages by kind with their documents' count and spread over sources."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     found = residue.message_table(residue.messages(docs))
-    return found.where(F.col("kind").isNotNull()).select("message", "kind", "uses", "sources")
+    return found.where(F.col("kind").isNotNull()).select("message", "kind", F.col("shape_uses").alias("uses"), "sources")
 
 
 QUERIES = {

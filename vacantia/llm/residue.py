@@ -2,8 +2,15 @@
 
 Method: every line and sentence that could be such a message is masked (numbers,
 addresses, dates and hex references become marks), the masked messages are grouped by
-hash with their number of documents and sources, and each distinct message is classified
-once by placeholder and phrase rules. Messages are then joined back to their documents.
+hash with their number of uses and sources, and each distinct message is classified once
+by placeholder and phrase rules and by its recurrence. Messages are then joined back to
+their documents.
+
+The form of a message (a placeholder, a status code, a traceback, the fixed wording of a
+notice) tells it at any number of copies. Other wording is told by recurrence: a message
+whose shape (all numbers and fields blanked, case ignored) occurs ``USES`` times in
+``SOURCES`` sources and that names a fault, the system at fault and what the reader is to
+do about it is a ``notice``, listed or not.
 
 Prose about placeholders or error pages is told from the messages themselves: a
 placeholder inside a sentence that explains placeholders (words such as template,
@@ -18,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import ahocorasick
 import pandas as pd
@@ -108,6 +116,20 @@ ERROR_PAGE = "|".join((
     r"(?i)\bangeforderte seite wurde nicht gefunden\b|\bseite (?:wurde )?nicht gefunden\b|\bsiden blev ikke fundet\b|\bsidan (?:kunde inte visas|hittades inte)\b",
     r"(?i)\bcette page n['’]existe pas\b|\bpagina non trovata\b|\bpágina no encontrada\b|\bpágina não encontrada\b|\bpagina niet gevonden\b",
 ))
+#: Parts of a notice of no fixed wording: something failed, of a site or browser, and an appeal.
+FAULT = (
+    r"(?i)\b(?:errors?|failed|failure|unavailable|not available|no longer available|expired|timed out|denied|blocked|disabled|unsupported|not supported|could not|couldn['’]t"
+    r"|cannot|can['’]t|unable to|not found|missing|went wrong|interrupted|offline|out of order|broken)\b"
+)
+SYSTEM = (
+    r"(?i)\b(?:pages?|sites?|websites?|servers?|browsers?|sessions?|requests?|connections?|cookies|scripts?|javascript|content|listings?|adverts?|documents?|files?|links?"
+    r"|databases?|gateways?|services?|applications?|portals?|display(?:ed)?|load(?:ed|ing)?)\b"
+)
+APPEAL = (
+    r"(?i)(?:^|[.!?:;,–-]\s*|\band\s+|\bor\s+)(?:please\s+)?(?:try\s+(?:again|later|another)|reload|refresh|retry|go\s+back|return\s+to|come\s+back|check\s+back|contact\s+(?:the|your|our)\s+\p{L}*\s*"
+    r"(?:administrator|support|webmaster|provider|helpdesk)|log\s+in\s+again|sign\s+in\s+again|enable|allow|update\s+your\s+browser|use\s+another\s+browser|clear\s+your)\b|\bplease\s+"
+    r"(?:reload|refresh|retry|try|update|allow|enable|contact|wait|check)\b"
+)
 SCRIPTS_REQUIRED = "|".join((
     r"(?i)<noscript>",
     r"(?i)\b(?:please )?(?:enable|activate|turn on|switch on) (?:javascript|scripts?|scripting)\b(?= (?:to|in)\b)",
@@ -134,14 +156,20 @@ TRIGGERS = (
     "ansøgningsfrist :", "start date :", "salary :", "| ref:", "|ref:", "dear ,", "hi ,", "hej ,", "hello ,", "bonjour ,", "hallo ,", "sehr geehrte/r ,",
     # Of four words of Latin filler in a row the second stands between separators.
     *(f"{before}{word}{after}" for word in _LATIN.split("|") for before in " ,." for after in " ,."),
+    # Every appeal of a notice.
+    "try", "reload", "refresh", "retry", "go back", "return to", "come back", "check back", "contact", "sign in again", "enable", "allow", "update", "clear your", "please wait", "please check",
 )
 # End of fixed values.
 
+#: A notice of no fixed wording has so many uses in so many sources.
+USES, SOURCES = 10, 3
+
 KINDS = (("placeholder", PLACEHOLDER), ("empty_value", EMPTY_VALUE), ("filler", FILLER), ("error_page", ERROR_PAGE), ("scripts_required", SCRIPTS_REQUIRED))
 
 
-_SPACE = re.compile(r"[^\S\n\r]+")
-_CUT = re.compile(r"[\r\n]+|(?<=[.!?]) (?=[^\W\d_a-zß-öø-ÿ{\[]|[{\[<«$#%@*_(])|(?<=[.!?][)\"”]) (?=[^\W\d_a-zß-öø-ÿ{\[]|[{\[<«$#%@*_(])")
+_ODD_SPACE = re.compile(r"[^\S\n\r ][^\S\n\r]*| [^\S\n\r]+")
+_LINE = re.compile(r"[\r\n]+")
+_CUT = re.compile(r""" (?:(?<=[.!?] )|(?<=[.!?][)"”] ))(?=[^\W\d_a-zß-öø-ÿ{\[]|[{\[<«$#%@*_(])""")
 _REPEAT = re.compile(r"(?<![^\W\d_])([^\W\d_]{2,}+)[\s,.]++\1(?![^\W\d_])|(?<![^\W\d_])([^\W\d_]{2,}+\s++[^\W\d_]{2,}+)[\s,.]++\2")
 
 
@@ -153,14 +181,37 @@ def _automaton():
     return a
 
 
+def lines(text: str) -> list[str]:
+    """The lines that hold anything, white space within collapsed."""
+    return [x for x in (y.strip() for y in _LINE.split(_ODD_SPACE.sub(" ", text))) if x]
+
+
 def units(text: str) -> list[str]:
-    """Lines, cut at sentence ends before a capital or a mark; white space within is collapsed."""
-    return [u for u in (x.strip() for x in _CUT.split(_SPACE.sub(" ", text))) if u]
+    """Lines, cut at sentence ends before a capital or a mark."""
+    return [u for line in lines(text) for u in (x.strip() for x in _CUT.split(line)) if u]
+
+
+def _repeats(low: str) -> bool:
+    """Whether a word or a pair of words follows itself.
+
+    Inside a run of four equal words two neighbours are equal, inside three equal pairs
+    a word and the next but one: without that the pattern need not be tried.
+    """
+    ws = low.replace(",", " ").replace(".", " ").split()
+    return (True in map(eq, ws, ws[1:]) or True in map(eq, ws, ws[2:])) and _REPEAT.search(low) is not None
 
 
 def could_be_message(unit: str, triggers) -> bool:
     low = unit.lower()
-    return next(triggers.iter(low), None) is not None or _REPEAT.search(low) is not None
+    return next(triggers.iter(low), None) is not None or _repeats(low)
+
+
+def candidates(text: str, triggers) -> list[str]:
+    """The units of a text that could be messages; a line without a trigger is not cut at all."""
+    return [
+        u for line in lines(text) if could_be_message(line, triggers)
+        for u in (x.strip() for x in _CUT.split(line)) if u and could_be_message(u, triggers)
+    ]
 
 
 def mask(unit: Column) -> Column:
@@ -194,10 +245,9 @@ def messages(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
         for df in batches:
             at, found = [], []
             for i, t in enumerate(df["t"]):
-                for u in units(t):
-                    if could_be_message(u, triggers):
-                        at.append(i)
-                        found.append(u)
+                mine = candidates(t, triggers)
+                at += [i] * len(mine)
+                found += mine
             if found:  # a column of no strings has no type Arrow could take
                 yield pd.DataFrame({"doc": df["doc"].to_numpy()[at], "source": df["source"].to_numpy()[at], "unit": found})
 
@@ -208,13 +258,32 @@ def messages(documents: DataFrame, key: str = "doc_id", text: str = "text", sour
     )
 
 
+def shape(message: Column) -> Column:
+    """Hash of a message with numbers and fields blanked and case ignored: what its copies share."""
+    blank = F.regexp_replace(F.regexp_replace(message, PLACEHOLDER, "FIELD"), r"\d+", "0")
+    return F.xxhash64(F.lower(F.regexp_replace(blank, r"[^\p{L}\p{N}]+", " ")))
+
+
+def is_notice(message: Column) -> Column:
+    return message.rlike(APPEAL) & message.rlike(FAULT) & message.rlike(SYSTEM)
+
+
 def message_table(found: DataFrame) -> DataFrame:
-    """(hash, message, uses, sources, kind): each distinct message once, classified."""
-    per_source = found.groupBy("hash", "message", "source").agg(F.count("*").alias("uses"))
+    """(hash, message, uses, sources, kind): each distinct message once, classified.
+
+    ``uses`` and ``sources`` are those of its shape.
+    """
+    per_source = cut(found.groupBy("hash", "message", "source").agg(F.count("*").alias("uses")).withColumn("shape", shape(F.col("message"))))
+    spread_over = (
+        per_source.groupBy("shape", "source").agg(F.sum("uses").alias("uses"))
+        .groupBy("shape").agg(F.sum("uses").alias("shape_uses"), F.count("source").alias("sources"))
+    )
     # Cut before the rules: a test of the kind would otherwise be moved below the grouping
     # and run on every unit instead of on every distinct message.
-    grouped = cut(per_source.groupBy("hash", "message").agg(F.sum("uses").alias("uses"), F.count("source").alias("sources")))
-    return grouped.withColumn("kind", classify(F.col("message")))
+    grouped = cut(per_source.groupBy("hash", "message", "shape").agg(F.sum("uses").alias("uses")).join(spread_over, "shape"))
+    recurring = (F.col("shape_uses") >= USES) & (F.col("sources") >= SOURCES)
+    kind = F.coalesce(classify(F.col("message")), F.when(recurring & is_notice(F.col("message")), F.lit("notice")))
+    return grouped.select("hash", "message", "uses", "shape_uses", "sources", kind.alias("kind"))
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str | None = "source") -> DataFrame:
