@@ -49,6 +49,30 @@ def test_gazetteer(value, entry):
     assert Gazetteer(PLACES).resolve(value)[0] == entry
 
 
+OTHERS = [(1, ["La Chaux-de-Fonds"], "CH", "Switzerland"), (2, ["Stratford-upon-Avon"], "GB", "United Kingdom"), (3, ["Oslo"], "NO", "Norway"), (4, ["Stratfield"], "IE", "Ireland"), (5, ["Bad Soden am Taunus"], "DE", "Germany")]
+
+
+@pytest.mark.parametrize("value, entry", [
+    ("La Chaux de Fnds", 1), ("Stratford upon Avom", 2), ("Osli", 3), ("Isli", 0), ("Avom upon Stratford", 2), ("Stratfeild", 4), ("am Taunus, Bad Sodden", 5), ("Badsoden am Tanus", 5), ("Soden", 0),
+    ("Chaux", 0), ("La Chaux de Fnds, Italy", 0), ("Oslo, Norge", 3),
+])
+def test_token_sets_of_any_length(value, entry):
+    assert Gazetteer(OTHERS).resolve(value)[0] == entry
+
+
+def test_blocks_change_no_answer(spark):
+    refs = PLACES + [(i + 5, *r[1:]) for i, *r in [(r[0], *r) for r in OTHERS]]
+    ref = spark.createDataFrame([(i, n[0], n[1] if len(n) > 1 else None, c, k) for i, n, c, k in refs], "place_id bigint, place_name string, alt_name string, country_code string, country_name string")
+    rnd = random.Random(8)
+    texts = ["Askvopevik, DK", "Askvopevik", "Ny Mölmertaillar", "Stratford-upon-Avon", "Stratfield", "near Oslo", "Denmark", "Askvopevik, Italy", "Oslo / Stratfield"]
+    texts += ["".join(c for c in rnd.choice(refs)[1][0] if rnd.random() > 0.06) for _ in range(60)]
+    vals = spark.createDataFrame(list(enumerate(texts)), "id bigint, v string")
+    whole = sorted(map(tuple, gazetteer.map_values(vals, ref, "id", "v").collect()))
+    for size in (1, 3):
+        assert sorted(map(tuple, gazetteer.map_values(vals, ref, "id", "v", max_names=size).collect())) == whole
+    assert sum(r[1] > 0 for r in whole) > 50
+
+
 def test_map_values_edge_cases(spark):
     ref = spark.createDataFrame([(i, n[0], n[1] if len(n) > 1 else None, c, k) for i, n, c, k in PLACES], "place_id bigint, place_name string, alt_name string, country_code string, country_name string")
     vals = spark.createDataFrame([(1, "Askvopevik", "q"), (2, None, "q"), (3, " \t", "q"), (4, "Nowhere", "q"), (1, "Askvopevik", "q"), (5, "rüntagarsted", "q")], "id bigint, v string, score string")

@@ -136,11 +136,17 @@ def test_leaks(spark):
         if kind != 2:
             want.add((n, p))
     docs += [(500, None, 1), (501, "", 1), (502, "... <b>", 1), (503, "It is SHORT, but whole passage of nine words in all!", 1), (0, docs[0][1], 1), (504, ("pad " * 50_000) + " ".join(passages[0]), 1)]
-    want |= {(503, 92), (504, 0)}
+    docs += [(505, " ".join(passages[1][:12]) + f'<a href="{"x" * 900}">' + " ".join(passages[1][12:24]) + "</a> 1 < 2", 1)]
+    want |= {(503, 92), (504, 0), (505, 1)}
     d = spark.createDataFrame(docs, "doc_id bigint, text string, words int")
     i = spark.createDataFrame(items, "item_id bigint, passage string, words string")
     got = [(r["doc_id"], r["item_id"]) for r in leak.leaks(d, i).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    # Wording that all items share costs none of them a case.
+    shared = " ".join(passages[0][:40])
+    many = spark.createDataFrame([(k, f"{shared} {' '.join(passages[k][40:])}", "x") for k in range(30)], "item_id bigint, passage string, words string")
+    some = spark.createDataFrame([(1, " ".join(passages[0][5:25]), 1)], "doc_id bigint, text string, words int")
+    assert leak.leaks(some, many).count() == 30
     assert leak.leaks(d.limit(0), i).count() == 0
     assert leak.leaks(d, i.limit(0)).count() == 0
 

@@ -5,9 +5,9 @@ ignore the others, so an altered word leaves seeds around it. Seeds of the held-
 passages are hashed; the corpus is scanned once with the same masks; equal hashes are
 joined; and each hit is verified by comparing the words around it.
 
-Passages written to a pattern share seeds. A seed that more than ``COMMON`` items have is
-left out where the same stretch of the passage has less common ones (every span keeps
-its least common seeds, so a passage made of shared wording only keeps them all).
+Every seed of every passage is kept, however many items share it. A seed that many
+documents or items have makes a large partition of the join, which adaptive execution
+splits along its map outputs.
 
 Before the join a seed of the corpus must be in a bit set of the held-out seeds. The set
 has a fixed size (``FILTER_BITS``), whatever the size of either side, so shipping it is
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
@@ -41,9 +41,8 @@ MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 6), (0, 1, 2, 5, 7))
 SEED = 8
 SPAN = 18
 AGREE = 16
-COMMON = 12
 FILTER_BITS = 1 << 25
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"<(?:[/?]?[A-Za-z]|!)[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -143,17 +142,6 @@ def _filter_bits(item_seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def _telling(seeds: DataFrame, span: int) -> DataFrame:
-    """The held-out seeds without the common ones that have better ones next to them."""
-    items = seeds.groupBy("seed").agg(F.count_distinct("k").alias("items"))
-    near = W.partitionBy("k").orderBy("at").rangeBetween(-(span // 2), span // 2)
-    rare = F.when(F.col("items") <= COMMON, 1).otherwise(0)
-    return (
-        seeds.join(items, "seed").withColumn("near", F.sum(rare).over(near))
-        .where((F.col("items") <= COMMON) | (F.col("near") < len(MASKS))).drop("items", "near", "at")
-    )
-
-
 def leaks(
     documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
     item_key: str = "item_id", item_text: str = "passage", span: int = SPAN, agree: int = AGREE,
@@ -163,7 +151,7 @@ def leaks(
     i = items.select(F.col(item_key).alias("k"), F.col(item_text).alias("t")).where(F.col("t").isNotNull())
     dk, ik = d.schema["k"].dataType.simpleString(), i.schema["k"].dataType.simpleString()
     cols = "seed bigint, at int, window binary, size int"
-    item_seeds = cut(_telling(i.mapInPandas(_scan("k", "t", span, None), f"k {ik}, {cols}"), span))
+    item_seeds = cut(i.mapInPandas(_scan("k", "t", span, None), f"k {ik}, {cols}").drop("at"))
     bits = _filter_bits(item_seeds.select("seed"))
     doc_seeds = d.mapInPandas(_scan("k", "t", span, bits), f"k {dk}, {cols}")
     # Neither side has a size bound, so the join is a shuffled one.
