@@ -213,17 +213,17 @@ class Gazetteer:
                 whole.append((start, letters, edits, f))
         return whole
 
-    def find(self, value: str) -> list[tuple[int, int, int, int, list[tuple[int, str]]]]:
-        """What speaks for entries: (kind, start, end or letters, edits, entries); kinds 0 and 1 are mentions, 2 similar names."""
+    def find(self, value: str) -> list[tuple[int, int, int, int, str, list[tuple[int, str]]]]:
+        """What speaks for entries: (kind, start, end or letters, edits, name, entries); kinds 0 and 1 are mentions, 2 similar names."""
         raw = re.sub(r"\s+", " ", value).strip()
         out = []
         for kind, text in enumerate((fold(raw), fold_spelled(raw))):
-            out += [(kind, s, e, 0, self.names[f]) for s, e, f in self._mentions(text)]
+            out += [(kind, s, e, 0, f, self.names[f]) for s, e, f in self._mentions(text)]
         if not out:
             text = fold(raw)
             named = set().union(*(self._country_words.get(c, {c.lower()}) for c in self._countries_in(raw, text)))
             words = [w for w in _TOKEN.findall(text) if not w[0].isdigit() and w.rstrip(".") not in NOISE and w.rstrip(".") not in named]
-            out = [(2, i, n, d, self.names[f]) for i, n, d, f in self._alike(words)]
+            out = [(2, i, n, d, f, self.names[f]) for i, n, d, f in self._alike(words)]
         return out
 
     def decide(self, value: str, found: list) -> tuple[int, int]:
@@ -232,7 +232,7 @@ class Gazetteer:
         texts = (fold(raw), fold_spelled(raw))
         for kind in (0, 1):
             mentions: dict[tuple[int, int], list] = {}
-            for k, s, e, _, entries in found:
+            for k, s, e, _, _, entries in found:
                 if k == kind:
                     mentions.setdefault((s, e), []).extend(map(tuple, entries))
             kept: list[tuple[int, int]] = []
@@ -245,9 +245,13 @@ class Gazetteer:
                 best = max(picks, key=lambda p: (p[0] > 0, p[1]))
                 return best[0], 100 if best[0] else 0
         countries = self._countries_in(raw, texts[0])
+        alike: dict[tuple, list] = {}
+        for k, start, letters, edits, form, entries in found:
+            if k == 2:
+                alike.setdefault((start, letters, edits, form), []).extend(map(tuple, entries))
         similar = []
-        for k, start, letters, edits, entries in found:
-            pid = self._pick([tuple(x) for x in entries], countries) if k == 2 else 0
+        for (start, letters, edits, _), entries in alike.items():
+            pid = self._pick(entries, countries)
             if pid:
                 similar.append((letters - 2 * edits, -start, pid, edits, letters))
         if not similar:
@@ -308,7 +312,7 @@ def map_values(
     known = {r[0].upper() for r in ref.select("code").distinct().collect() if r[0]} | set(ENDONYMS)
     parts = -(-n // max_names) + 1
     part = F.pmod(F.xxhash64(F.col(ref_id)), F.lit(parts))
-    evidence = "k int, s int, e int, d int, entries array<struct<id: bigint, c: string>>"
+    evidence = "k int, s int, e int, d int, f string, entries array<struct<id: bigint, c: string>>"
     distinct = todo.select("v").distinct()
 
     def finder(block):
@@ -316,9 +320,9 @@ def map_values(
             g = None
             for df in batches:
                 g = g or Gazetteer(block, countries, known)
-                rows = [(v, *x[:4], [{"id": i, "c": c} for i, c in x[4]]) for v in df["v"] for x in g.find(v)]
+                rows = [(v, *x[:5], [{"id": i, "c": c} for i, c in x[5]]) for v in df["v"] for x in g.find(v)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["v", "k", "s", "e", "d", "entries"])
+                    yield pd.DataFrame(rows, columns=["v", "k", "s", "e", "d", "f", "entries"])
 
         return run
 
@@ -327,13 +331,13 @@ def map_values(
         one = distinct.mapInPandas(finder(_rows(ref.where(part == p).collect())), f"v string, {evidence}")
         found = one if found is None else found.unionByName(one)
     # The evidence of a value is bounded by its own length and the entries of its names.
-    gathered = distinct.join(found.groupBy("v").agg(F.collect_list(F.struct("k", "s", "e", "d", "entries")).alias("found")), "v", "left")
+    gathered = distinct.join(found.groupBy("v").agg(F.collect_list(F.struct("k", "s", "e", "d", "f", "entries")).alias("found")), "v", "left")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = Gazetteer([], countries, known)
         for df in batches:
             res = [
-                g.decide(v, [] if f is None else [(x["k"], x["s"], x["e"], x["d"], [(y["id"], y["c"]) for y in x["entries"]]) for x in f])
+                g.decide(v, [] if f is None else [(x["k"], x["s"], x["e"], x["d"], x["f"], [(y["id"], y["c"]) for y in x["entries"]]) for x in f])
                 for v, f in zip(df["v"], df["found"])
             ]
             yield pd.DataFrame({"v": df["v"], "id": pd.array([r[0] for r in res], dtype="int64"), "score": pd.array([r[1] for r in res], dtype="int32")})
