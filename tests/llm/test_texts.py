@@ -43,6 +43,30 @@ def test_segments(spark):
     assert doclang.segments(df, labels.limit(0), "id", "text", "url", "label").count() == 7
 
 
+def test_evidence_decides_what_words_leave_open(spark):
+    model = doclang.seed_model()
+    weak = "sql java\nwerk hybrid\nteam die git"  # one telling word, German or Dutch
+    rows = [
+        (1, weak, "https://jobs.example/1"), (2, weak, "https://jobs.example/2"), (3, '<div lang="de">\n' + weak, "https://jobs.example/3"), (4, weak, "https://firma.de/4"),
+        (5, LINES["en"] + "\n" + LINES["en"] + "\n" + LINES["en"] + "\nteam die git\n" + LINES["en"], "https://jobs.example/5"),
+    ]
+    rows += [(100 + i, LINES["de"], "https://a.firma.de/x") for i in range(60)] + [(200 + i, LINES["en"], "https://jobs.example/x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, text string, url string")
+    labels = spark.createDataFrame([(1, "de"), (2, "en"), (5, "de")] + [(100 + i, "de") for i in range(60)] + [(200 + i, "en") for i in range(60)], "id bigint, label string")
+    run = lambda w: {(r["id"], r["line_no"], r["lang"]) for r in doclang.segments(df, labels, "id", "text", "url", "label", model, w).collect() if r["id"] < 100}
+    got, alone = run(1.0), run(0.0)
+    # The label, the markup or the host settle a single telling word; a label the text contradicts does not.
+    assert {(1, 2, "de"), (3, 3, "de"), (4, 2, "de")} <= got and not any(i == 2 for i, _, _ in got)
+    assert {x for x in got if x[0] == 5} == {(5, 0, "en")} == alone
+
+
+def test_priors_are_smoothed_by_domain_and_suffix(spark):
+    meta = spark.createDataFrame([("a.firma.dk", "da")] * 90 + [("b.firma.dk", None), ("c.other.dk", None), ("d.new.example", None)] + [("x.example", "en")] * 300, "host string, declared string")
+    prior = {r["host"]: dict(zip(doclang.LANGUAGES, r["prior"])) for r in doclang.host_priors(meta).collect()}
+    order = [prior[h]["da"] for h in ("a.firma.dk", "b.firma.dk", "c.other.dk", "d.new.example")]
+    assert order == sorted(order, reverse=True) and len(set(order)) == 4
+
+
 # ---- p7 ----
 
 
