@@ -16,11 +16,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import canonical_letters
 from ..operators.skew import skew_join
 from ..session import cut
 
 
+def canonical_letters(c: Column) -> Column:
+    """Letters and digits only, lower case: what formatting differences leave alone.
+
+    White space, punctuation, symbols and invisible characters (format characters,
+    variation selectors, the grapheme joiner) go; letters, their marks and digits stay.
+    """
+    letters = F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+|[\uFE00-\uFE0F\u034F]+", "")
+    return F.translate(F.lower(letters), "\u03c2", "\u03c3")
+
+
 def encode(
     records: DataFrame, group: str, record_id: str, left: str, right: str, one_is_enough: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -41,11 +50,12 @@ def encode(
         .groupBy("g", "raw").agg(F.min("code").alias("code"), F.count("*").alias("n"))
         .withColumn("canon", canonical_letters(F.col("raw")))
     )
-    ids = raw.groupBy("g", "canon").agg(F.min("code").alias("value_id"))
-    # 0 marks a value without letter or digit; the codes are moved up by one.
-    dictionary = raw.join(ids, ["g", "canon"]).select(
-        "g", "raw", "n", F.when(F.col("canon") == "", F.lit(0)).otherwise(F.col("value_id") + 1).cast("bigint").alias("v")
-    )
+    # Stored: the dictionary is read for both fields, and each time for its hot values too.
+    # 0 marks a value without letter or digit (they need no common integer, so they do not
+    # meet in one group); the codes are moved up by one.
+    raw = raw.select("g", "raw", "code", "n", F.when(F.col("canon") != "", F.xxhash64("canon")).alias("h"), F.when(F.col("canon") != "", F.col("canon")).alias("canon"))
+    ids = raw.where("canon IS NOT NULL").groupBy("g", "h", "canon").agg(F.min("code").alias("value_id"))
+    dictionary = cut(raw.join(ids, ["g", "h", "canon"], "left").select("g", "raw", "n", F.coalesce(F.col("value_id") + 1, F.lit(0)).cast("bigint").alias("v")))
     a = skew_join(
         recs.select("g", "id", F.coalesce("a", F.lit("")).alias("raw"), F.coalesce("b", F.lit("")).alias("raw_b")),
         dictionary, ["g", "raw"], "n", F.col("id"),
