@@ -1,8 +1,9 @@
 """Spellings of names that mean the same person or organisation, linked.
 
-Method: a symmetric-delete neighbourhood index on the words of the names finds words a
-small edit apart (both lose one letter and meet in the same shorter word). Names that
-share such words are aligned by the optimal assignment of their words, in which an
+Method: a symmetric-delete neighbourhood index on the words of the names finds words one
+or two edits apart (both lose as many letters and meet in the same shorter word; of long
+words the first ``PREFIX`` letters do, which loses no pair). Names that share such words
+and a trade, or of which one states no trade, are aligned by the optimal assignment of their words, in which an
 initial, a nickname or an abbreviation may stand for the full word, words may be joined,
 split or in another order, and words that only describe the trade may be left out.
 
@@ -12,10 +13,10 @@ spelling lead to one and the same name: "F. Noravol" joins nobody while both a F
 and a Francisca Noravol exist. Links are closed by connected components.
 
 No bucket is expanded into all its pairs: within a bucket of the index every word is
-linked to the bucket's most frequent word only. The names of a block all meet. A block of
-very many names (``HOT``) is joined in parts, and a test of letters that every accepted
-pair passes comes before the comparison; its cost still grows with the square of the names
-that share one word.
+linked to the bucket's most frequent word only. The names of a block (a word and a trade)
+all meet. A block of very many names (``HOT``) is joined in parts, and a test of letters
+that every accepted pair passes is part of the join, before the comparison; its cost still
+grows with the square of the names that share a word and a trade.
 
 Defined cases: null and empty names are no names and have no row; names are compared as
 given (callers fold them); a name without any other spelling is in no pair; repeated
@@ -26,10 +27,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import cut
@@ -37,6 +37,8 @@ from .strings import osa
 
 #: Distinct names of a block above which it is joined in parts of about as many names.
 HOT = 200
+#: Letters of a word the neighbourhood index looks at.
+PREFIX = 12
 # Words for a trade or form of organisation, additions, abbreviations, nicknames.
 TRADES = frozenset(
     "engineering marine research analytics security insurance energy diagnostics networks software pharma pharmaceuticals foods logistics interactive systems instruments "
@@ -129,6 +131,7 @@ def parse(name: str) -> tuple[tuple[str, ...], tuple[frozenset[str], ...]]:
     return tuple(core), tuple(trades)
 
 
+@lru_cache(maxsize=500_000)
 def _word_cost(a: str, b: str) -> tuple[int, bool] | None:
     """(edits, stands-for): how two words match, None if they do not."""
     if a == b:
@@ -147,9 +150,15 @@ def _word_cost(a: str, b: str) -> tuple[int, bool] | None:
 
 
 def _merges(words: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """The words with neighbours joined in every way, in either order (of at most five words; initials stay apart)."""
-    if len(words) > 5:
-        return [words, ("".join(words),)]
+    """The words with neighbours joined in either order (initials stay apart): in every way for up
+    to three words, of more words any two neighbours or all of them."""
+    if len(words) > 3:
+        one = [
+            words[:i] + (j,) + words[i + 2 :]
+            for i in range(len(words) - 1) if len(words[i]) > 1 and len(words[i + 1]) > 1
+            for j in (words[i] + words[i + 1], words[i + 1] + words[i])
+        ]
+        return [words, *one, ("".join(words),)]
     out = [()]
     for i, w in enumerate(words):
         joined = [x for x in out if i and len(w) > 1 and len(x[-1]) > 1]
@@ -161,27 +170,36 @@ def _assign(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int] | None:
     """(edits, words that stand for others) of the best one-to-one alignment."""
     if len(a) > 4:
         return _assign_many(a, b)
-    best = None
-    for p in permutations(range(len(b))):
-        edits = stands = 0
-        for x, j in zip(a, p):
-            c = _word_cost(x, b[j])
-            if c is None:
-                break
-            edits += c[0]
-            stands += c[1]
-        else:
-            if best is None or (edits + stands) < sum(best):
-                best = (edits, stands)
-    return best
+    fits = []
+    for x in a:
+        row = [(j, c) for j, y in enumerate(b) if (c := _word_cost(x, y)) is not None]
+        if not row:
+            return None
+        fits.append(row)
+    best: list[tuple[int, int]] = []
+
+    def place(i: int, taken: int, edits: int, stands: int) -> None:
+        if best and edits + stands >= sum(best[0]):
+            return
+        if i == len(fits):
+            best[:] = [(edits, stands)]
+            return
+        for j, c in fits[i]:
+            if not taken >> j & 1:
+                place(i + 1, taken | 1 << j, edits + c[0], stands + c[1])
+
+    place(0, 0, 0, 0)
+    return best[0] if best else None
 
 
 def _assign_many(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int] | None:
     """The same for any number of words: each word in turn by a cheapest augmenting path."""
     n = len(a)
-    costs = [[_word_cost(x, y) for y in b] for x in a]
-    if any(all(c is None for c in row) for row in costs):
-        return None
+    costs = []
+    for x in a:
+        costs.append([_word_cost(x, y) for y in b])
+        if all(c is None for c in costs[-1]):
+            return None
     far = 1000 * n  # beyond any alignment of words that match
     price = [[far if c is None else c[0] + c[1] for c in row] for row in costs]
     u, v, of = [0] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
@@ -246,63 +264,84 @@ def _index_words(name: str) -> list[str]:
     core, _ = parse(name)
     out = {w for w in core if len(w) >= 3}
     out |= {core[i] + core[i + 1] for i in range(len(core) - 1)} | {core[i + 1] + core[i] for i in range(len(core) - 1)}
-    if len(core) <= 4:
-        out.add("".join(core))
+    out.add("".join(core))
     return sorted(out or {name})
 
 
-def _shape(name: str) -> tuple[int, int, bool]:
-    """(letters, set of letters, short): what two edits can change only so far.
+def _shape(name: str) -> tuple[list[str], int, int, bool]:
+    """(trades, letters, set of letters, short): what a trade or two edits can change only so far.
 
-    Without a short word or nickname on either side no word stands for another, so an
-    accepted pair is two edits apart: two letters in length, four in the set of letters.
-    Letters share the 63 places of the set; that only lets more pairs through.
+    Two names that state trades have one in common. Without a short word or nickname on
+    either side no word stands for another, so an accepted pair is two edits apart: two
+    letters in length, four in the set of letters. Letters share the 63 places of the set;
+    that only lets more pairs through.
     """
-    core, _ = parse(name)
+    core, trades = parse(name)
     mask = 0
     for c in set("".join(core)):
         mask |= 1 << (ord(c) % 63)
-    return sum(map(len, core)), mask, any(len(w) <= 5 or w in NICKNAMES for w in core)
+    return sorted(set().union(*trades)), sum(map(len, core)), mask, any(len(w) <= 5 or w in NICKNAMES for w in core)
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct names that share a block."""
+def _shorter(word: Column) -> Column:
+    """Hashes of the word's beginning, and of that with one letter left out, or with two from nine letters on.
+
+    Two edits are allowed to words of which the longer has nine letters; the shorter then
+    lacks what the longer loses, and need not lose two itself below that length.
+    """
+    base = F.substring(word, 1, PREFIX)
+    n = F.length(base)
+    without = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(PREFIX)))
+    once = F.transform(F.sequence(F.lit(1), n), lambda i: without(base, i))
+    # Left out in order, every pair of places comes once.
+    twice = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: without(without(base, i), j))))
+    every = F.when(F.length(word) >= 9, F.concat(F.array(base), once, twice)).when(F.length(word) >= 4, F.concat(F.array(base), once)).otherwise(F.array(base))
+    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = [(n, w) for n in df["name"] for w in _index_words(n)]
-            yield pd.DataFrame(rows, columns=["name", "word"])
-
-    by_word = cut(distinct.mapInPandas(words, "name string, word string"))
-    df = by_word.groupBy("word").agg(F.count("*").alias("df"))
-    # The index: each word under itself with any one letter left out.
-    n = F.length("word")
-    shorter = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.col("word").substr(F.lit(1), i - 1), F.col("word").substr(i + 1, n)))
-    index = df.select("word", "df", F.explode(F.array_distinct(F.when(n >= 5, F.concat(F.array("word"), shorter)).otherwise(F.array("word")))).alias("bucket"))
-    top = index.groupBy("bucket").agg(F.max_by(F.struct("word", "df"), F.struct("df", "word")).alias("top"))
-    near = index.join(top, "bucket").select("word", F.col("top.word").alias("block"), F.col("top.df").alias("size")).distinct()
-    # The most frequent word of a bucket comes to know how many names its block gets.
-    blocks = by_word.join(near, "word").select("name", "block").distinct()
-    sized = cut(blocks.join(blocks.groupBy("block").agg(F.count("*").alias("members")), "block"))
-    single = sized.where(F.col("members") <= HOT).select("name", "block")
-    pairs = single.alias("l").join(single.alias("r"), F.expr("l.block = r.block AND l.name < r.name")).select(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
-
-    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            letters, mask, short = zip(*map(_shape, df["name"])) if len(df) else ((), (), ())
-            yield df.assign(letters=pd.array(letters, dtype="int32"), mask=pd.array(mask, dtype="int64"), short=pd.array(short, dtype="bool"))
 
-    hot = cut(
-        sized.where(F.col("members") > HOT).select("name", "block", F.ceil(F.col("members") / HOT).alias("parts"))
-        .mapInPandas(shapes, "name string, block string, parts bigint, letters int, mask bigint, short boolean")
+def _meet(rows: DataFrame, others: DataFrame, same: bool) -> DataFrame:
+    """(a, b): names of the two sides (name, block, word, key, letters, mask, short) that share block and key and could be alike.
+
+    A block also holds words that are not close to each other (all are to its most
+    frequent one): the words that brought two names there have to be.
+
+    The right side's blocks of many names are taken in parts, each of which meets the left
+    side's rows once.
+    """
+    sizes = others.groupBy("block", "key").agg(F.ceil(F.count("*") / HOT).alias("parts"))
+    left = rows.join(sizes, ["block", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    right = others.join(sizes, ["block", "key"]).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
+    close = (
+        "(l.short OR r.short OR (abs(l.letters - r.letters) <= 2 AND bit_count(l.mask ^ r.mask) <= 4))"
+        # Two swaps of neighbours are two edits there and four here.
+        " AND (l.word = r.word OR (abs(length(l.word) - length(r.word)) <= 2 AND levenshtein(l.word, r.word, 4) >= 0))"
     )
-    left = hot.withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
-    right = hot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    many = left.alias("l").join(right.alias("r"), F.expr(
-        "l.block = r.block AND l.part = r.part AND l.name < r.name"
-        " AND (l.short OR r.short OR (abs(l.letters - r.letters) <= 2 AND bit_count(l.mask ^ r.mask) <= 4))"
-    )).select(F.col("l.name").alias("a"), F.col("r.name").alias("b"))
-    return pairs.unionByName(many).distinct()
+    order = "l.name < r.name" if same else "l.name <> r.name"
+    return left.alias("l").join(right.alias("r"), F.expr(f"l.block = r.block AND l.key = r.key AND l.part = r.part AND {order} AND {close}")).select(
+        F.least("l.name", "r.name").alias("a"), F.greatest("l.name", "r.name").alias("b")
+    )
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of distinct names that share a block and could be alike."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = [(n, _index_words(n), *_shape(n)) for n in df["name"]]
+            yield pd.DataFrame(rows, columns=["name", "words", "trades", "letters", "mask", "short"])
+
+    read_names = cut(distinct.mapInPandas(read, "name string, words array<string>, trades array<string>, letters int, mask bigint, short boolean"))
+    by_word = read_names.select("name", F.explode("words").alias("word")).select("name", "word", F.xxhash64("word").alias("w"))
+    df = by_word.groupBy("w").agg(F.count("*").alias("df"), F.min("word").alias("word"))
+    # Moved once: the most frequent word of a bucket and the words it gathers share the exchange.
+    index = df.select("w", "df", F.explode(_shorter(F.col("word"))).alias("bucket")).repartition("bucket")
+    top = index.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("w", F.struct("df", "w")).alias("block")).where("n > 1")
+    near = index.join(top, "bucket").select("w", "block").unionByName(df.select("w", F.col("w").alias("block"))).distinct()
+    blocks = cut(by_word.join(near, "w").select("name", "block", "word").distinct().join(read_names.drop("words"), "name"))
+    stated = blocks.where(F.size("trades") > 0).select("name", "block", "word", F.explode("trades").alias("key"), "letters", "mask", "short")
+    silent = blocks.where(F.size("trades") == 0).select("name", "block", "word", F.lit("").alias("key"), "letters", "mask", "short")
+    any_trade = blocks.where(F.size("trades") > 0).select("name", "block", "word", F.lit("").alias("key"), "letters", "mask", "short")
+    return _meet(stated, stated, True).unionByName(_meet(silent, silent, True)).unionByName(_meet(silent, any_trade, False)).distinct()
 
 
 def link(names: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text
 from ..plans import sql as d
-from ..session import cut, spread, table
+from ..session import cut, scratch, spread, table
 from . import bpe, doclang, format_duplicates, gazetteer, history, leak, names, residue, truth
 
 
@@ -79,16 +79,21 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history is loaded into a new table, then the batches are absorbed one after the other."""
     columns = ("title", "company", "location")
     seen = table(spark, sf_dir, "seen_jobs").select(F.col("record_id").alias("id"), *columns)
-    new = table(spark, sf_dir, "arrivals").select(F.col("record_id").alias("id"), *columns)
-    reader, employers = history.setup(seen.unionByName(new), table(spark, sf_dir, "places"))
-    old = cut(history.prepare(seen, reader, employers))
-    _, accepted = history.absorb(None, old, reader)
-    # Batches are ordered by record_id, so one pass over all gives what batch by batch gives.
-    batch = cut(history.prepare(new, reader, employers))
-    matches, _ = history.absorb(accepted, batch, reader)
-    return matches.select(F.col("accepted").alias("accepted_id"), F.col("id").alias("record_id"))
+    new = table(spark, sf_dir, "arrivals").select(F.col("record_id").alias("id"), "batch_no", *columns)
+    reader, employers = history.setup(seen.unionByName(new.drop("batch_no")), table(spark, sf_dir, "places"))
+    store = history.Store(spark, scratch(spark, "postings"))
+    store.absorb(cut(history.prepare(seen, reader, employers)))
+    arrived = cut(history.prepare(new, reader, employers))
+    found = None
+    for row in arrived.select("batch_no").distinct().orderBy("batch_no").collect():  # a number a batch
+        matches = store.absorb(arrived.where(F.col("batch_no") == row[0]).drop("batch_no"))
+        found = matches if found is None else found.unionByName(matches)
+    if found is None:
+        found = spark.createDataFrame([], "id bigint, accepted bigint")
+    return found.select(F.col("accepted").alias("accepted_id"), F.col("id").alias("record_id"))
 
 
 # ---- p5: employer spellings -------------------------------------------------------
