@@ -87,12 +87,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = history.Store(spark, scratch(spark, "postings"))
     store.absorb(cut(history.prepare(seen, reader, employers)))
     arrived = cut(history.prepare(new, reader, employers))
-    found = None
-    for row in arrived.select("batch_no").distinct().orderBy("batch_no").collect():  # a number a batch
-        matches = store.absorb(arrived.where(F.col("batch_no") == row[0]).drop("batch_no"))
-        found = matches if found is None else found.unionByName(matches)
-    if found is None:
-        found = spark.createDataFrame([], "id bigint, accepted bigint")
+    numbers = [r[0] for r in arrived.select("batch_no").distinct().orderBy("batch_no").collect()]  # a number a batch
+    for number in numbers:
+        store.absorb(arrived.where(F.col("batch_no") == number).drop("batch_no"))
+    found = spark.read.schema("id bigint, accepted bigint").parquet(*[f"{store.path}/matches/{i + 1}" for i in range(len(numbers))]) if numbers else spark.createDataFrame([], "id bigint, accepted bigint")
     return found.select(F.col("accepted").alias("accepted_id"), F.col("id").alias("record_id"))
 
 
