@@ -65,12 +65,6 @@ def test_fold_and_words(spark):
     assert one(spark, lambda c: text.slug(c, 10), "--") == "ad"
 
 
-def test_canonical_letters(spark):
-    assert one(spark, text.canonical_letters, "A​b-C É 1.") == "abcé1"
-    assert one(spark, text.canonical_letters, "– !") == ""
-    assert one(spark, text.canonical_letters, "Σς") == "σσ"
-
-
 @pytest.mark.parametrize("value, expected", [
     ("2026-08-20T23:30:00+02:00", "2026-08-20"), ("2026-08-20T00:30:00Z", "2026-08-20"), ("2026-08-20", "2026-08-20"), ("1766000000", "2025-12-17"),
     ("1766000000000", "2025-12-17"), ("soon", None), ("", None), (None, None), ("2026-13-40", None), ("99999999999999999999", None),

@@ -35,8 +35,8 @@ def feed_date(c: Column) -> Column:
 
 
 # What stands for a remote place anywhere.
-ANYWHERE = ("anywhere", "worldwide", "anywhere in the world", "remote", "global")
-REGIONISH = r"(?i)\butc\b|\bgmt\b|\best\b|\bcet\b|\beet\b|\bpst\b|\bhours?\b|timezone|time zone|±|\bremote\b|worldwide|emea|europe|americas|apac"
+ANYWHERE = ("anywhere", "worldwide", "remote", "anywhere in the world")
+REGIONISH = r"(?i)anywhere|remote|±|\butc|\bgmt|\b[a-z]?[ecmp][sd]?t\b|europe|america|latam|asia|pacific|emea"
 # End of fixed values.
 
 
@@ -71,7 +71,7 @@ def split_title_company(c: Column, longest: int = 60) -> Column:
 
 def bracket_tags(c: Column) -> Column:
     """[a, b] of a text that ends in 'Tags: [a] [b]'."""
-    tail = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)Tags:\s*((?:\[[^\]]*\]\s*)+)$", 1)
+    tail = F.regexp_extract(F.coalesce(c, F.lit("")), r"Tags:\s*((?:\[[^\]]+\]\s*)+)\s*$", 1)
     return F.filter(F.transform(F.regexp_extract_all(tail, F.lit(r"\[([^\]]*)\]"), F.lit(1)), F.trim), lambda t: t != "")
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -101,19 +103,50 @@ def fingerprint(company: Column, title: Column, url: Column) -> Column:
     return F.substring(F.sha2(basis, 256), 1, 16)
 
 
-_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-    ("&middot;", "·"), ("&copy;", "©"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&eacute;", "é"), ("&oslash;", "ø"), ("&aring;", "å"), ("&aelig;", "æ"),
-    ("&ouml;", "ö"), ("&uuml;", "ü"), ("&auml;", "ä"), ("&amp;", "&"),
-)
+#: Characters by entity name, from the standard's own table.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# Names the standard also reads without a semicolon, where no letter or digit follows.
+_OPEN = r"&(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)) + r")(?![A-Za-z0-9;=])"
+
+
+def _named() -> Column:
+    """A map literal of all named entities (one folded constant, no matter how often it is used)."""
+    text = "\u0001".join(f"{name}\u0002{chars}" for name, chars in sorted(NAMED.items()))
+    return F.str_to_map(F.lit(text), F.lit("\u0001"), F.lit("\u0002"))
+
+
+def _character(entity: Column) -> Column:
+    """What one entity stands for: a name of the table or a code point; anything else stays."""
+    body = F.regexp_replace(entity, "^&|;$", "")
+    hexa = F.when(body.rlike("^#[xX]"), F.substring(body, 3, 12)).when(
+        body.rlike("^#[0-9]{1,9}$"), F.hex(F.substring(body, 2, 9).try_cast("bigint"))
+    )
+    point = F.conv(hexa, 16, 10).try_cast("bigint")
+    known = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF) & ~point.between(0x80, 0x9F)
+    # Code points of the C1 range are read as Windows-1252, as browsers do.
+    western = F.element_at(F.array(*[F.lit(_C1.get(i, "\ufffd")) for i in range(0x80, 0xA0)]), (point - 0x7F).cast("int"))
+    numeric = F.when(known, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).when(point.between(0x80, 0x9F), western).otherwise(F.lit("\ufffd"))
+    return F.when(hexa.isNotNull(), numeric).otherwise(F.coalesce(F.try_element_at(_named(), body), entity))
+
+
+_C1 = {i: bytes([i]).decode("cp1252") for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def unescape(c: Column) -> Column:
-    """Named HTML entities to characters; ``&amp;`` last, so one pass undoes one escape."""
-    for name, ch in _ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(ch))
-    return c
+    """HTML entities, named and numeric, to characters; one pass undoes one escape."""
+
+    def filled(text: Column) -> Column:
+        parts, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+        pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda before, e: F.concat(before, _character(e)))
+        return F.concat(F.array_join(pairs, ""), F.element_at(parts, -1))
+
+    return _let(c, lambda t: F.when(F.contains(t, F.lit("&")), _let(F.regexp_replace(t, f"({_OPEN})", "$1;"), filled)).otherwise(t))
 
 
 def normalise_description(c: Column, limit: int | None = DESCRIPTION_LIMIT) -> Column:
@@ -150,13 +183,3 @@ def slug(c: Column, length: int) -> Column:
     s = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
     s = F.btrim(F.substring(F.btrim(s, F.lit("-")), 1, length), F.lit("-"))
     return F.when(s == "", F.lit("ad")).otherwise(s)
-
-
-def canonical_letters(c: Column) -> Column:
-    """Letters and digits only, lower case: what formatting differences leave alone.
-
-    White space, punctuation, symbols and invisible characters (format characters,
-    variation selectors, the grapheme joiner) go; letters, their marks and digits stay.
-    """
-    letters = F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}]+|[\uFE00-\uFE0F\u034F]+", "")
-    return F.translate(F.lower(letters), "\u03c2", "\u03c3")

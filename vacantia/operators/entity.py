@@ -28,7 +28,7 @@ def primary_order() -> Column:
 
 
 def vacancies(listings: DataFrame) -> DataFrame:
-    """(vacancy_key, listings, title, company, url, source, location, posted, sources).
+    """(vacancy_key, listings, title, company, url, source, location, posted, sources, and tags if there are any).
 
     The primary listing and the first stated place come from struct minima and the
     sources from a set, so a vacancy of any number of listings combines before the
@@ -37,19 +37,21 @@ def vacancies(listings: DataFrame) -> DataFrame:
     o = primary_order()
     primary = F.min_by(F.struct("title", "company", "url", "source"), o).alias("p")
     place = F.min_by(F.col("location"), F.when(F.col("location") != "", o))
+    tags = [F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags")] if "tags" in listings.columns else []
     return (
         listings.groupBy("vacancy_key").agg(
             F.count("*").alias("listings"), primary, F.coalesce(place, F.lit("")).alias("location"),
-            F.min("posted").alias("posted"), F.array_sort(F.collect_set("source")).alias("sources"),
-        ).select("vacancy_key", "listings", "p.title", "p.company", "p.url", "p.source", "location", "posted", "sources")
+            F.min("posted").alias("posted"), F.array_sort(F.collect_set("source")).alias("sources"), *tags,
+        ).select("vacancy_key", "listings", "p.title", "p.company", "p.url", "p.source", "location", "posted", "sources", *(["tags"] if tags else []))
     )
 
 
-def vacancy_text(listings: DataFrame, most: int = 100) -> DataFrame:
+def vacancy_text(listings: DataFrame) -> DataFrame:
     """(vacancy_key, text): primary title and the distinct descriptions in primary order.
 
-    A vacancy's distinct descriptions are counted once each before they are gathered;
-    ``most`` bounds only the array of one vacancy and raises the row's ``more`` flag.
+    A description counts once however many listings carry it. The text of a vacancy is one
+    value, so its distinct descriptions (of 20,000 characters each at most) have to fit
+    into one row.
     """
     o = primary_order()
     head = listings.groupBy("vacancy_key").agg(F.min_by("title", o).alias("title"))

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import word_in
+from .verdict import Profile, verdict
 
 # Scale of the score and its tiers, and the defaults of the rules.
 BASE, VIABLE_AT, LONG_SHOT_AT = 50, 55, 30
@@ -17,6 +18,10 @@ REMOTE_REGIONS = (
     "worldwide", "anywhere", "global", "europe", "european", "emea", "eu", "denmark", "sweden", "nordic", "nordics",
     "scandinavia", "france", "italy", "spain", "cet", "cest", "gmt", "utc",
 )
+LANGUAGE_POINTS = {"blocked": -60, "likely": -35, "plus": -5}
+ACTED = {
+    "applied": "you applied to", "rejected": "you were rejected from", "interview": "you are interviewing for", "offer": "you have an offer from",
+}
 # End of fixed values.
 
 
@@ -28,6 +33,7 @@ class Settings:
     avoid: dict[str, int] = field(default_factory=dict)
     remote_regions: tuple[str, ...] = REMOTE_REGIONS
     stale_after_days: int = 45
+    profile: Profile = field(default_factory=Profile)
 
     @classmethod
     def from_config(cls, config: dict | None, keywords: list[str] | None = None) -> "Settings":
@@ -45,6 +51,7 @@ class Settings:
         return cls(
             tuple(k for k in words if str(k).strip()), weights("boost", BOOST), weights("penalise", PENALISE), weights("avoid", {}),
             tuple(str(r).lower() for r in section.get("remote_regions", REMOTE_REGIONS)), int(section.get("stale_after_days", 45)),
+            Profile.from_config(config),
         )
 
 
@@ -103,24 +110,71 @@ def stale_points(posted: Column, today: Column, after_days: int) -> Column:
     return F.when(old, _part(F.lit(-10), F.concat(F.lit("-10 posted "), age.cast("string"), F.lit(" days ago")))).otherwise(_part(F.lit(0), F.lit(None).cast("string")))
 
 
+def language_points(v: Column, profile: Profile) -> Column:
+    """Points of a language verdict: -60, -35, -5 (-10 for a language one has nothing of), +5 when stated."""
+    none = F.array(*[F.lit(c) for c in sorted(profile.basic)]).cast("array<string>")
+    level = v["level"]
+    points = (
+        F.when((level == "plus") & (F.size(F.array_except(v["languages"], none)) > 0), -10).when((level == "ok") & v["stated"], 5)
+        .when(level == "blocked", LANGUAGE_POINTS["blocked"]).when(level == "likely", LANGUAGE_POINTS["likely"]).when(level == "plus", LANGUAGE_POINTS["plus"]).otherwise(0)
+    )
+    said = F.concat(F.when(points > 0, F.lit("+")).otherwise(""), points.cast("string"), F.lit(" "), v["reason"])
+    return _part(points, F.when(points != 0, said))
+
+
+def history_points(prior: Column) -> Column:
+    """-50 for a vacancy acted on, -30 for a skipped one; prior: struct(status, title, when, exact) or null."""
+    status, day = prior["status"], F.concat(F.lit(" ("), prior["when"].cast("string"), F.lit(")"))
+    what = F.when(prior["exact"], F.lit("this vacancy")).otherwise(F.concat(F.lit('a similar one ("'), prior["title"], F.lit('")')))
+    phrase = F.lit(None).cast("string")
+    for name, words in ACTED.items():
+        phrase = F.when(status == name, F.lit(words)).otherwise(phrase)
+    return (
+        F.when(status.isin(*ACTED), _part(F.lit(-50), F.concat(F.lit("-50 "), phrase, F.lit(" "), what, day)))
+        .when(status == "skipped", _part(F.lit(-30), F.concat(F.lit("-30 you skipped "), what, day))).otherwise(_part(F.lit(0), F.lit(None).cast("string")))
+    )
+
+
+def history_line(prior: Column) -> Column:
+    """What is already known of a vacancy, '' for nothing."""
+    what = F.when(prior["exact"], F.lit("this")).otherwise(F.concat(F.lit('similar "'), prior["title"], F.lit('"')))
+    return (
+        F.when(prior.isNull(), "").when(prior["status"] == "new", F.concat(what, F.lit(" first seen "), prior["first_seen"].cast("string")))
+        .otherwise(F.concat(what, F.lit(": "), prior["status"], F.lit(" "), prior["when"].cast("string")))
+    )
+
+
 def score(vacs: DataFrame, settings: Settings, today: Column) -> DataFrame:
-    """Adds score (0..100), tier and reasons. vacs: title, tags, text, location, posted."""
-    low = F.lower("text")
+    """Adds verdict, score (0..100), tier and reasons.
+
+    vacs: title, tags, text, location, posted, the columns of ``evidence.read_evidence``
+    and prior (struct(status, title, when, first_seen, exact), null without one). The caps
+    come after the score: a stated requirement one cannot meet or a vacancy acted on is
+    unviable, an advert in another language at most a long shot.
+    """
+    staged = vacs.withColumns({"verdict": verdict(settings.profile), "__low": F.lower("text"), "__head": F.lower("title")})
     parts = F.array(
         keyword_points(F.col("title"), F.col("tags"), settings.keywords),
-        word_points(low, settings.boost, 20, 1, "mentions {}"),
-        word_points(F.lower("title"), settings.penalise, 40, -1, "{} in title"),
-        word_points(low, settings.avoid, 40, -1, "mentions {}"),
+        word_points(F.col("__low"), settings.boost, 20, 1, "mentions {}"),
+        word_points(F.col("__head"), settings.penalise, 40, -1, "{} in title"),
+        word_points(F.col("__low"), settings.avoid, 40, -1, "mentions {}"),
+        language_points(F.col("verdict"), settings.profile),
         remote_points(F.col("location"), settings.remote_regions),
+        history_points(F.col("prior")),
         stale_points(F.col("posted"), today, settings.stale_after_days),
     )
-    scored = vacs.withColumn("__p", parts).withColumn(
+    scored = staged.withColumn("__p", parts).withColumn(
         "score", F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate("__p", F.lit(BASE), lambda a, x: a + x["points"])))
     )
-    tier = F.when(F.col("score") >= VIABLE_AT, TIERS[0]).when(F.col("score") >= LONG_SHOT_AT, TIERS[1]).otherwise(TIERS[2])
+    acted = F.coalesce(F.col("prior.status").isin(*ACTED), F.lit(False))
+    level = F.col("verdict.level")
+    tier = (
+        F.when((level == "blocked") | acted, TIERS[2]).when((F.col("score") >= VIABLE_AT) & (level != "likely"), TIERS[0])
+        .when(F.col("score") >= LONG_SHOT_AT, TIERS[1]).otherwise(TIERS[2])
+    )
     return scored.withColumn("tier", tier).withColumn(
         "reasons", F.filter(F.transform("__p", lambda x: x["reason"]), lambda r: r.isNotNull())
-    ).drop("__p")
+    ).drop("__p", "__low", "__head")
 
 
 def order_columns() -> list[Column]:

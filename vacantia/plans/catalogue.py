@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import dates, text
-from ..operators import entity, evidence, filters, lang, rank, report, store
-from ..session import ensure_checkpoint_dir, spread, table
+from ..operators import entity, evidence, filters, lang, rank, report, store, verdict
+from ..session import cut, ensure_checkpoint_dir, spread, table
 from ..sources import parse
 from ..streaming import seen as seen_stream
 from . import sql as d
@@ -104,9 +104,10 @@ def split_title_company(spark, sf_dir):
 
 @query(r"""
 WITH x AS (SELECT listing_id, %s AS t FROM listings)
-SELECT listing_id, CASE WHEN t = '' THEN 'Remote' WHEN lower(t) IN ('anywhere','worldwide','anywhere in the world','remote','global') THEN 'Remote (Worldwide)'
+SELECT listing_id, CASE WHEN t = '' THEN 'Remote' WHEN lower(t) IN ('anywhere', 'worldwide', 'remote', 'anywhere in the world') THEN 'Remote (Worldwide)'
        ELSE 'Remote (' || t || ')' END AS remote,
-       CASE WHEN lower(t) = 'anywhere' THEN 'Remote (Worldwide)' WHEN regexp_matches(t, '%s') THEN 'Remote (' || t || ')' ELSE t END AS place FROM x""" % (d.norm("location"), dates.REGIONISH))
+       CASE WHEN lower(t) = 'anywhere' THEN 'Remote (Worldwide)' WHEN regexp_matches(t, '(?i)anywhere|remote|±|\butc|\bgmt|\b[a-z]?[ecmp][sd]?t\b|europe|america|latam|asia|pacific|emea')
+       THEN 'Remote (' || t || ')' ELSE t END AS place FROM x""" % d.norm("location"))
 def remote_places(spark, sf_dir):
     c = F.col("location")
     return table(spark, sf_dir, "listings").select("listing_id", dates.remote_location(c).alias("remote"), dates.place_or_remote(c).alias("place"))
@@ -185,11 +186,15 @@ def new_listings(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT batch_no, fingerprint FROM arrivals QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY record_id) = 1)
-SELECT batch_no, count(*) AS appended FROM a WHERE fingerprint NOT IN (SELECT fingerprint FROM seen_jobs WHERE fingerprint IS NOT NULL) GROUP BY batch_no""")
+WITH a AS (SELECT record_id, batch_no, fingerprint, vacancy_key FROM arrivals QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY record_id) = 1),
+s AS (SELECT vacancy_key, status, status_at, note FROM seen_jobs WHERE vacancy_key <> '' AND status <> 'new'
+  QUALIFY row_number() OVER (PARTITION BY vacancy_key ORDER BY coalesce(status_at, DATE '0001-01-01') DESC, first_seen DESC, fingerprint DESC, record_id DESC) = 1)
+SELECT record_id, batch_no, '2025-07-01 08:00:00' AS first_seen, coalesce(status, 'new') AS status, status_at::VARCHAR AS status_at, coalesce(note, '') AS note
+FROM a LEFT JOIN s USING (vacancy_key) WHERE fingerprint NOT IN (SELECT fingerprint FROM seen_jobs WHERE fingerprint IS NOT NULL)""")
 def mark_seen(spark, sf_dir):
-    arrivals = table(spark, sf_dir, "arrivals").select("record_id", "fingerprint", "batch_no")
-    return store.mark_seen(arrivals, seen(spark, sf_dir), "record_id").groupBy("batch_no").agg(F.count("*").alias("appended"))
+    arrivals = table(spark, sf_dir, "arrivals").select("record_id", "fingerprint", "batch_no", "vacancy_key")
+    rows = store.mark_seen(arrivals, seen(spark, sf_dir), "2025-07-01 08:00:00", "record_id")
+    return rows.select("record_id", "batch_no", F.col("first_seen").cast("string").alias("first_seen"), "status", F.col("status_at").cast("string").alias("status_at"), "note")
 
 
 _ORDER = "location = '', description = '', posted IS NULL, source, url, fingerprint"
@@ -228,7 +233,7 @@ def possible_duplicates(spark, sf_dir):
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, t = F.col("company"), F.col("title")
     return seen(spark, sf_dir).select(
-        "record_id", "status", "status_at", "first_seen", text.company_key(c).alias("company_key"), text.title_key(t).alias("title_key"), text.vacancy_key(c, t).alias("vacancy_key")
+        "record_id", "status", "status_at", "first_seen", "fingerprint", "title", text.company_key(c).alias("company_key"), text.title_key(t).alias("title_key"), text.vacancy_key(c, t).alias("vacancy_key")
     )
 
 
@@ -246,7 +251,7 @@ def priors(spark, sf_dir):
     vacs = table(spark, sf_dir, "arrivals").where(t.isNotNull() & c.isNotNull()).select(
         text.vacancy_key(c, t).alias("vacancy_key"), text.company_key(c).alias("company_key"), text.title_key(t).alias("title_key")
     ).where("company_key <> ''").distinct()
-    return store.priors(vacs, _history(spark, sf_dir))
+    return store.priors(vacs, _history(spark, sf_dir)).select("vacancy_key", "prior_id", "exact", "status")
 
 
 # ---- the seen-set -----------------------------------------------------------------
@@ -309,11 +314,26 @@ def worklist_top20(spark, sf_dir):
     return w.select("vacancy_key", "record_id", "title", F.col("first_seen").cast("string").alias("first_seen"))
 
 
-@query("SELECT record_id, title, company FROM seen_jobs WHERE contains(lower(concat_ws(chr(10), fingerprint, company, title, url)), 'game')")
+_FOUND = " OR ".join(f"coalesce({c}, '') ILIKE '%%{{}}%%'" for c in ("fingerprint", "company", "title", "url")).replace("%%", "%")
+
+
+@query("SELECT record_id, title, company, row_number() OVER (ORDER BY first_seen DESC, record_id) AS place FROM seen_jobs WHERE " + _FOUND.replace("{}", "game%d_v"))
 def find_listings(spark, sf_dir):
+    """Wildcards stand for themselves; the order is part of the result (a report of one needle's rows)."""
+    found = store.find(seen(spark, sf_dir), "GAME%d_v").select("record_id", "title", "company", "first_seen")
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.desc("first_seen"), "record_id"))).drop("first_seen")
+
+
+@query("SELECT record_id, title, company FROM seen_jobs WHERE " + _FOUND.replace("{}", "game"))
+def find_plain(spark, sf_dir):
     return store.find(seen(spark, sf_dir), "GAME").select("record_id", "title", "company")
 
 
+@query("SELECT record_id, fingerprint, first_seen::VARCHAR AS first_seen FROM seen_jobs ORDER BY first_seen DESC, record_id LIMIT 100")
+def newest_listings(spark, sf_dir):
+    return store.newest_first(seen(spark, sf_dir)).limit(100).select("record_id", "fingerprint", F.col("first_seen").cast("string").alias("first_seen"))
+
+
 @query("SELECT record_id FROM seen_jobs WHERE NOT (status = 'new' AND first_seen < TIMESTAMP '2024-12-01')")
 def prune(spark, sf_dir):
     return store.prune(seen(spark, sf_dir), "2024-12-01").select("record_id")
@@ -332,6 +352,66 @@ def inherit_status(spark, sf_dir):
     return store.inherit_status(table(spark, sf_dir, "arrivals").select("record_id", "vacancy_key"), seen(spark, sf_dir)).select("record_id", "status")
 
 
+@query(f"""
+WITH k AS (SELECT *, {d.company_key('company')} || '|' || {d.title_key('title')} AS vk, {d.company_key('company')} AS ck FROM seen_jobs),
+n AS (SELECT vk FROM k GROUP BY vk HAVING count(DISTINCT status) > 1),
+a AS (SELECT vk, status, status_at, note FROM k JOIN n USING (vk) WHERE status <> 'new'
+  QUALIFY row_number() OVER (PARTITION BY vk ORDER BY coalesce(status_at, DATE '0001-01-01') DESC, first_seen DESC, fingerprint DESC, record_id DESC) = 1)
+SELECT record_id, vk AS vacancy_key, ck AS company_key, CASE WHEN a.vk IS NULL THEN k.status ELSE a.status END AS status,
+  (CASE WHEN a.vk IS NULL THEN k.status_at ELSE a.status_at END)::VARCHAR AS status_at, CASE WHEN a.vk IS NULL THEN k.note ELSE a.note END AS note FROM k LEFT JOIN a USING (vk)""")
+def reconcile_status(spark, sf_dir):
+    """Keys computed anew, and vacancies whose listings disagree settled."""
+    c, t = F.col("company"), F.col("title")
+    return store.rekey(seen(spark, sf_dir), text.vacancy_key(c, t), text.company_key(c)).select(
+        "record_id", "vacancy_key", "company_key", "status", F.col("status_at").cast("string").alias("status_at"), "note"
+    )
+
+
+_STATUS_AS = _status_sql("AND (status = 'new' OR status_at >= DATE '2025-01-01')")
+
+
+@query(f"""WITH c AS ({_STATUS_AS}), s AS (SELECT sum(vacancies) FILTER (WHERE status IN ('applied','rejected','interview','offer')) AS a,
+  sum(vacancies) FILTER (WHERE status IN ('rejected','interview','offer')) AS b FROM c)
+SELECT 'listings' AS measure, count(*)::DOUBLE AS value FROM seen_jobs UNION ALL SELECT 'vacancies', count(DISTINCT vacancy_key)::DOUBLE FROM seen_jobs
+UNION ALL SELECT status, vacancies::DOUBLE FROM c UNION ALL SELECT 'applications', a::DOUBLE FROM s UNION ALL SELECT 'answers', b::DOUBLE FROM s
+UNION ALL SELECT 'response rate', round(CASE WHEN a = 0 THEN 0.0 ELSE b / a END, 6) FROM s""")
+def tracker_stats(spark, sf_dir):
+    return store.stats(seen(spark, sf_dir), "2025-01-01")
+
+
+def _first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seen listing with the smallest id that has a vacancy key: what the write queries act on."""
+    return seen(spark, sf_dir).where("vacancy_key <> ''").orderBy("record_id").limit(1)
+
+
+@query("""
+WITH x AS (SELECT vacancy_key, fingerprint FROM seen_jobs WHERE vacancy_key <> '' ORDER BY record_id LIMIT 1)
+SELECT record_id, CASE WHEN hit THEN 'offer' ELSE status END AS status, (CASE WHEN hit THEN DATE '2025-05-05' ELSE status_at END)::VARCHAR AS status_at,
+  CASE WHEN hit THEN 'by hand' ELSE note END AS note, (CASE WHEN s.fingerprint = (SELECT fingerprint FROM x) THEN least(first_seen, TIMESTAMP '2025-05-05') ELSE first_seen END)::VARCHAR AS first_seen
+FROM (SELECT *, vacancy_key = (SELECT vacancy_key FROM x) OR fingerprint = (SELECT fingerprint FROM x) AS hit FROM seen_jobs) s""")
+def add_listing(spark, sf_dir):
+    """A listing entered by hand that is there already: its vacancy takes the status, no row is added."""
+    own = _first_row(spark, sf_dir).select("fingerprint", "vacancy_key", F.lit(0).alias("ord"))
+    _, after, _ = store.add(own, seen(spark, sf_dir), "2025-07-01 08:00:00", "offer", "2025-05-05", "by hand")
+    return after.select("record_id", "status", F.col("status_at").cast("string").alias("status_at"), "note", F.col("first_seen").cast("string").alias("first_seen"))
+
+
+@query("""WITH x AS (SELECT vacancy_key, fingerprint FROM seen_jobs WHERE vacancy_key <> '' ORDER BY record_id LIMIT 1)
+SELECT source, count(*) AS listings FROM seen_jobs WHERE vacancy_key = (SELECT vacancy_key FROM x) AND fingerprint <> (SELECT fingerprint FROM x) GROUP BY source""")
+def same_vacancy_elsewhere(spark, sf_dir):
+    own = _first_row(spark, sf_dir).select("fingerprint", "vacancy_key")
+    return store.same_vacancy_elsewhere(own, seen(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("listings"))
+
+
+@query("""WITH x AS (SELECT vacancy_key FROM seen_jobs WHERE vacancy_key <> '' ORDER BY record_id LIMIT 1)
+SELECT vacancy_key, 'applied' AS status, '2025-05-05' AS status_at, 'note' AS note, 1::BIGINT AS seq FROM x""")
+def set_status(spark, sf_dir):
+    """The event of a status set on the vacancy a fingerprint names."""
+    key = _first_row(spark, sf_dir).first()
+    events = spark.createDataFrame([], "vacancy_key string, status string, status_at date, note string, seq bigint")
+    return store.set_status(events, seen(spark, sf_dir), key["vacancy_key"], "applied", "2025-05-05", "note").withColumn("status_at", F.col("status_at").cast("string"))
+
+
 # ---- languages --------------------------------------------------------------------
 
 _TOKS, _HITS = d.detect("text")
@@ -365,15 +445,38 @@ def english_workplace(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text IS NOT NULL").select("doc_id", lang.english_workplace(F.col("text")).alias("english_workplace"))
 
 
-@query()
+_AD = f"ads AS (SELECT listing_id, {d.description('description')} AS t FROM listings), {d.evidence('ads', 'listing_id', 't')}"
+
+
+@query(f"""WITH {_AD} SELECT k AS listing_id, ad_language, array_to_string(required, ',') AS required, array_to_string(preferred, ',') AS preferred,
+  array_to_string(waived, ',') AS waived, english_workplace FROM ev""")
 def language_evidence(spark, sf_dir):
-    """Languages each advert states as required, preferred or waived (no SQL: nearest cue by position)."""
-    ads = spread(table(spark, sf_dir, "listings").select("listing_id", "description"))
-    plain = ads.select("listing_id", text.normalise_description(F.col("description")).alias("t"))
-    out = evidence.read_evidence(plain, "listing_id", "t")
+    """Languages each advert states as required, preferred or waived, by the nearest cue."""
+    out = evidence.read_evidence(_ads(spark, sf_dir), "listing_id", "t")
     return out.select("listing_id", "ad_language", *[F.array_join(c, ",").alias(c) for c in ("required", "preferred", "waived")], "english_workplace")
 
 
+def _ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ads = spread(table(spark, sf_dir, "listings").select("listing_id", "description"))
+    return ads.select("listing_id", text.normalise_description(F.col("description")).alias("t"))
+
+
+@query(f"WITH {_AD}, {d.verdict(verdict.Profile())} SELECT k AS listing_id, level, label, reason, stated FROM vd")
+def language_verdict(spark, sf_dir):
+    """Whether the default reader's languages suffice for each advert."""
+    v = evidence.read_evidence(_ads(spark, sf_dir), "listing_id", "t").select("listing_id", verdict.verdict(verdict.Profile()).alias("v"))
+    return v.select("listing_id", "v.level", "v.label", "v.reason", "v.stated")
+
+
+@query(f"""WITH ads AS (SELECT doc_id, text FROM documents WHERE lang IS NOT NULL), {d.evidence('ads', 'doc_id', 'text')}, {d.verdict(verdict.Profile())}
+SELECT k AS doc_id, level, label FROM vd WHERE level IN ('blocked', 'likely')""")
+def audit_disagreements(spark, sf_dir):
+    """The labelled texts a reader would not be told to be fine, with what the detector says."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).where("lang IS NOT NULL")
+    v = evidence.read_evidence(docs, "doc_id", "text").select("doc_id", verdict.verdict(verdict.Profile()).alias("v"))
+    return v.select("doc_id", "v.level", "v.label").where("level IN ('blocked', 'likely')")
+
+
 # ---- ranking and report -----------------------------------------------------------
 
 _SETTINGS = rank.Settings(keywords=("tester", "qa"), avoid={"sap": 10})
@@ -381,10 +484,14 @@ _TODAY = "2025-06-30"
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = unique_listings(spark, sf_dir)
-    v = entity.vacancies(u)
-    tags = u.select("vacancy_key", F.explode("tags").alias("t")).groupBy("vacancy_key").agg(F.array_sort(F.collect_set("t")).alias("tags"))
-    full = v.join(entity.vacancy_text(u), "vacancy_key").join(tags, "vacancy_key", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    """Listings to scored vacancies, with language verdict and history."""
+    u = cut(unique_listings(spark, sf_dir))  # read four times
+    texts = cut(entity.vacancy_text(u))  # read for the words and for the evidence
+    priors_ = store.priors(u.select("vacancy_key", "company_key", "title_key").distinct(), _history(spark, sf_dir), u)
+    prior = priors_.select("vacancy_key", F.struct("status", "title", "when", "first_seen", "exact").alias("prior"))
+    full = (
+        entity.vacancies(u).join(texts, "vacancy_key").join(evidence.read_evidence(texts, "vacancy_key", "text"), "vacancy_key").join(prior, "vacancy_key", "left")
+    )
     return rank.score(full, _SETTINGS, F.lit(_TODAY).cast("date"))
 
 
@@ -403,19 +510,46 @@ g AS (SELECT vacancy_key, count(*) AS listings, first(title ORDER BY {_ORDER}) A
   coalesce(first(location ORDER BY {_ORDER}) FILTER (WHERE location <> ''), '') AS location, min(posted) AS posted,
   list_sort(list_distinct(flatten(list(ntags)))) AS tags, string_agg(DISTINCT description, chr(10)) AS body FROM f GROUP BY 1),
 s AS (SELECT *, lower(title || chr(10) || coalesce(body, '')) AS low, {_N_KEYS} AS nk, array_to_string(tags, ' ') AS tagtext,
-  regexp_extract(lower(location), '^remote \\((.*)\\)$', 1) AS lim FROM g),
+  regexp_extract(lower(location), '^remote \\((.*)\\)$', 1) AS lim FROM g), tx AS (SELECT vacancy_key, title || chr(10) || coalesce(body, '') AS t FROM g),
+{d.evidence('tx', 'vacancy_key', 't')}, {d.verdict(_SETTINGS.profile)},
+vk AS (SELECT DISTINCT vacancy_key, company_key, title_key, {d.words('title_key')} AS words, split_part(company_key, ' ', 1) AS block FROM u),
+h0 AS (SELECT record_id, status, fingerprint, title, cast(first_seen AS DATE) AS fs, coalesce(status_at, cast(first_seen AS DATE)) AS w, {d.company_key('company')} AS company_key,
+  {d.title_key('title')} AS title_key FROM seen_jobs),
+h AS (SELECT *, company_key || '|' || title_key AS vacancy_key, {d.words('title_key')} AS words, split_part(company_key, ' ', 1) AS block FROM h0),
+pc AS (SELECT a.vacancy_key, h.record_id, h.status, h.title, h.w, h.fs, h.fingerprint, a.vacancy_key = h.vacancy_key AS exact FROM vk a JOIN h ON a.block = h.block
+  WHERE a.vacancy_key = h.vacancy_key OR ({d.similar('a', 'h')})),
+pr AS (SELECT pc.* FROM pc LEFT JOIN (SELECT DISTINCT vacancy_key, fingerprint FROM u) o ON o.vacancy_key = pc.vacancy_key AND o.fingerprint = pc.fingerprint
+  WHERE NOT (pc.status = 'new' AND o.fingerprint IS NOT NULL)
+  QUALIFY row_number() OVER (PARTITION BY pc.vacancy_key ORDER BY exact DESC, status <> 'new' DESC, w DESC, record_id) = 1),
+lp AS (SELECT s.*, vd.level, vd.stated, vd.soft, vd.label, vd.reason, pr.status AS pstatus, CASE level WHEN 'blocked' THEN -60 WHEN 'likely' THEN -35
+  WHEN 'plus' THEN CASE WHEN len(list_filter(soft, lambda x: x <> 'da')) > 0 THEN -10 ELSE -5 END WHEN 'ok' THEN CASE WHEN stated THEN 5 ELSE 0 END ELSE 0 END
+  + CASE WHEN pr.status IN ('applied', 'rejected', 'interview', 'offer') THEN -50 WHEN pr.status = 'skipped' THEN -30 ELSE 0 END AS extra
+  FROM s JOIN vd ON vd.k = s.vacancy_key LEFT JOIN pr ON pr.vacancy_key = s.vacancy_key),
 p AS (SELECT *, CASE WHEN nk > 0 THEN least(15 + 5 * (nk - 1), 25) WHEN {' OR '.join(f"contains(tagtext, '{k}')" for k in _SETTINGS.keywords)} THEN -10 ELSE 0 END
   + {_weights('low', _SETTINGS.boost, 20)} - {_weights('lower(title)', _SETTINGS.penalise, 40)} - {_weights('low', _SETTINGS.avoid, 40)}
   - CASE WHEN regexp_matches(lower(location), '^remote \\(.*\\)$') AND NOT ({' OR '.join(_hit('lim', r) for r in _SETTINGS.remote_regions)}) THEN 25 ELSE 0 END
-  - CASE WHEN date_diff('day', posted, DATE '{_TODAY}') > 45 THEN 10 ELSE 0 END AS points FROM s),
-r AS (SELECT vacancy_key, company, title, url, location, listings, greatest(0, least(100, 50 + points))::INT AS score FROM p),
-ranked AS (SELECT *, CASE WHEN score >= 55 THEN 'viable' WHEN score >= 30 THEN 'long shot' ELSE 'unviable' END AS tier FROM r)
+  - CASE WHEN date_diff('day', posted, DATE '{_TODAY}') > 45 THEN 10 ELSE 0 END + extra AS points FROM lp),
+r AS (SELECT vacancy_key, company, title, url, location, listings, level, label, pstatus, greatest(0, least(100, 50 + points))::INT AS score FROM p),
+ranked AS (SELECT *, CASE WHEN level = 'blocked' OR pstatus IN ('applied', 'rejected', 'interview', 'offer') THEN 'unviable' WHEN score >= 55 AND level <> 'likely' THEN 'viable'
+  WHEN score >= 30 THEN 'long shot' ELSE 'unviable' END AS tier FROM r)
 """
 
 
-@query(_RANK_SQL + "SELECT vacancy_key, company, title, score, tier FROM ranked")
+@query(_RANK_SQL + "SELECT vacancy_key, company, title, score, tier, level, label, pstatus AS prior FROM ranked")
 def ranked(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("vacancy_key", "company", "title", "score", "tier")
+    return _ranked(spark, sf_dir).select("vacancy_key", "company", "title", "score", "tier", "verdict.level", "verdict.label", F.col("prior.status").alias("prior"))
+
+
+@query(_RANK_SQL + "SELECT vacancy_key, tier, score FROM ranked WHERE tier <> 'unviable'")
+def viable_only(spark, sf_dir):
+    """The list with the vacancies hidden that are not viable."""
+    return _ranked(spark, sf_dir).where(F.col("tier") != rank.TIERS[2]).select("vacancy_key", "tier", "score")
+
+
+@query(_RANK_SQL + "SELECT vacancy_key, company, score FROM ranked ORDER BY lower(company), vacancy_key LIMIT 50")
+def sorted_by_company(spark, sf_dir):
+    """A list sorted by another column: text without regard to case, then the key."""
+    return _ranked(spark, sf_dir).orderBy(F.lower("company"), "vacancy_key").limit(50).select("vacancy_key", "company", "score")
 
 
 @query(_RANK_SQL + "SELECT tier, count(*) AS vacancies, sum(listings)::BIGINT AS listings FROM ranked GROUP BY 1")
@@ -423,7 +557,7 @@ def tier_summary(spark, sf_dir):
     return report.tier_summary(_ranked(spark, sf_dir))
 
 
-@query(_RANK_SQL + """SELECT lpad(score::VARCHAR, 3, ' ') || '  ' || company || ': ' || title || CASE WHEN location <> '' THEN ' [' || location || ']' ELSE '' END AS line FROM ranked
+@query(_RANK_SQL + """SELECT '  ' || lpad(score::VARCHAR, 3, ' ') || '  ' || company || ': ' || title || CASE WHEN location <> '' THEN '  [' || location || ']' ELSE '' END AS line FROM ranked
 ORDER BY CASE tier WHEN 'viable' THEN 0 WHEN 'long shot' THEN 1 ELSE 2 END, score DESC, lower(company), lower(title), url LIMIT 20""")
 def report_lines(spark, sf_dir):
     return _ranked(spark, sf_dir).orderBy(*rank.order_columns()).limit(20).select(report.line().alias("line"))

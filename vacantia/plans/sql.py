@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from ..functions import text as t
 
 WS = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+"
@@ -57,10 +59,17 @@ def fingerprint(company: str, title: str, link: str) -> str:
     return f"sha256(lower({norm(company)}) || '|' || lower({norm_title(title)}) || '|' || {url(link)})[1:16]"
 
 
+_NAMED = "MAP {" + ", ".join(f"{q('&' + k + ';')}: {q(chr(v))}" for k, v in {**name2codepoint, "apos": 39}.items()) + "}"
+
+
 def unescape(x: str) -> str:
-    for name, ch in t._ENTITIES:
-        x = f"replace({x}, {q(name)}, {q(ch)})"
-    return x
+    """Numeric entities and those named in HTML 4; the standard's further names do not occur in the tables."""
+    pat = q("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+    one = (
+        f"CASE WHEN z[2] IS NULL THEN '' WHEN z[2][2:2] <> '#' THEN coalesce(({_NAMED})[z[2]], z[2]) "
+        "WHEN lower(z[2][3:3]) = 'x' THEN chr(('0x' || z[2][4:length(z[2]) - 1])::INT) ELSE chr((z[2][3:length(z[2]) - 1])::INT) END"
+    )
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({x}, {pat}), regexp_extract_all({x}, {pat})), lambda z: z[1] || {one}), '')"
 
 
 def description(x: str) -> str:
@@ -111,3 +120,81 @@ def detect(x: str) -> str:
         for i, (code, ws) in enumerate(lang.distinctive().items())
     )
     return toks, f"list_reverse_sort([{hits}])"
+
+
+def _places(t: str, pattern: str, kind: int) -> str:
+    """list of {centre, kind}: centres of a pattern's matches in t."""
+    parts, found = f"regexp_split_to_array({t}, {q(pattern)})", f"regexp_extract_all({t}, {q(pattern)})"
+    before = lambda xs, to: f"coalesce(list_sum(list_transform({xs}[1:{to}], lambda y: length(y))), 0)"
+    return (
+        f"list_transform(range(1, len({found}) + 1), lambda i: {{'centre': ((2 * ({before(parts, 'i')} + {before(found, 'i - 1')}) + length({found}[i])) // 2)::INT, 'kind': {kind}}})"
+    )
+
+
+def _blank(t: str, pattern: str) -> str:
+    pairs = f"list_zip(regexp_split_to_array({t}, {q(pattern)}), regexp_extract_all({t}, {q(pattern)}))"
+    return f"array_to_string(list_transform({pairs}, lambda z: z[1] || CASE WHEN z[2] IS NULL THEN '' ELSE repeat(' ', length(z[2])) END), '')"
+
+
+def evidence(source: str, key: str, text: str) -> str:
+    """CTEs ending in ``ev``: key, ad_language, required, preferred, waived (sorted lists), english_workplace.
+
+    A clause is taken apart into words and single other characters, so a language's name is
+    a whole word by construction; what follows it is looked at in the rest of the clause.
+    """
+    from ..operators import evidence as e, lang
+
+    names = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for c, ns in e.NAMES.items() for n in ns) + "}"
+    heads = "MAP {" + ", ".join(f"{q(n)}: {q(c)}" for n, c in e.COMPOUNDS.items()) + "}"
+    compound = f"({'|'.join(e.COMPOUNDS)})(?:{e.COMPOUND_ENDS})"
+    followers = "[" + ", ".join(q(f) for f in sorted(set(e.FOLLOWERS))) + "]"
+    letter = r"[\p{L}\p{Nl}\p{No}]"
+    weak = e.WEAK.replace(r"\bé", r"(?:^|[^\p{L}\p{N}_])é")
+    any_name = "|".join(sorted({n for ns in e.NAMES.values() for n in ns} | set(e.COMPOUNDS), key=len, reverse=True))
+    toks, hits = detect("t")
+    return f"""
+e0 AS MATERIALIZED (SELECT {key} AS k, coalesce({text}, '') AS t FROM {source}),
+e1 AS (SELECT k, unnest(list_distinct(regexp_split_to_array(lower(t), {q(e.CLAUSE)}))) AS c FROM e0),
+e2 AS (SELECT k, c, regexp_extract_all(c, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_]') AS p FROM e1 WHERE regexp_matches(c, {q(any_name)})),
+e3 AS (SELECT k, c, p, unnest(range(1, len(p) + 1)) AS i FROM e2),
+e4 AS (SELECT k, c, p[i] AS w, CASE WHEN i > 1 THEN p[i - 1] ELSE '' END AS prev, coalesce(list_sum(list_transform(p[1:i - 1], lambda y: length(y))), 0)::INT AS pos FROM e3
+  WHERE ({names})[p[i]] IS NOT NULL OR regexp_full_match(p[i], {q(compound)})),
+e5 AS (SELECT k, c, pos, ({names})[w] AS named, ({heads})[regexp_extract(w, {q('^' + compound + '$')}, 1)] AS joined, prev, c[pos + length(w) + 1:] AS rest FROM e4),
+e6 AS (SELECT k, c, pos, coalesce(named, joined) AS code FROM e5 WHERE joined IS NOT NULL OR (prev <> '-' AND (regexp_matches(rest, '^\\s*[,:/()&]')
+  OR list_contains({followers} || [''], regexp_extract(rest, '^\\s*[-–]?\\s*({letter}+)', 1))))),
+m0 AS (SELECT DISTINCT c FROM e6), m1 AS (SELECT c, {_blank('c', e.WAIVE)} AS a FROM m0), m2 AS (SELECT c, a, {_blank('a', e.SOFT)} AS b FROM m1),
+m3 AS (SELECT c, {_places('c', e.WAIVE, 0)} || {_places('a', e.SOFT, 1)} || {_places('b', e.STRONG, 2)} AS cues, regexp_matches(b, {q(weak)}) AS weak FROM m2),
+e7 AS (SELECT k, c, code, CASE WHEN len(cues) > 0 THEN list_sort(list_transform(cues, lambda x: {{'d': abs(x.centre - pos), 'kind': x.kind}}))[1].kind WHEN weak THEN 2 END AS v FROM e6 JOIN m3 USING (c)),
+e8 AS (SELECT k, c, code, max(CASE v WHEN 0 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS s FROM e7 WHERE v IS NOT NULL GROUP BY ALL),
+e9 AS (SELECT k, coalesce(list_sort(list(DISTINCT code) FILTER (WHERE s = 2)), []) AS w, coalesce(list_sort(list(DISTINCT code) FILTER (WHERE s = 1)), []) AS r,
+  coalesce(list_sort(list(DISTINCT code) FILTER (WHERE s = 0)), []) AS p FROM e8 GROUP BY k),
+d0 AS (SELECT k, t, {toks} AS toks FROM e0), d1 AS (SELECT k, t, len(toks) AS n, {hits} AS h FROM d0),
+d2 AS (SELECT k, t, CASE WHEN h[1].n = 0 THEN NULL WHEN n < {lang.SHORT_TEXT} THEN CASE WHEN h[2].n = 0 THEN h[1].lang END
+  WHEN h[1].n >= {lang.MIN_HITS} AND h[1].n >= {lang.MIN_LEAD} * h[2].n AND h[1].n / n >= {lang.MIN_SHARE} THEN h[1].lang END AS ad_language FROM d1),
+ev AS MATERIALIZED (SELECT d2.k AS k, ad_language, list_filter(coalesce(r, []), lambda x: NOT list_contains(w, x)) AS required,
+  list_filter(coalesce(p, []), lambda x: NOT list_contains(w, x) AND NOT list_contains(r, x)) AS preferred, coalesce(w, []) AS waived,
+  regexp_matches(lower(t), {q(lang.ENGLISH_WORKPLACE)}) AS english_workplace FROM d2 LEFT JOIN e9 USING (k))"""
+
+
+def verdict(profile) -> str:
+    """CTE ``vd`` over ``ev``: k, level, label, reason, languages, stated."""
+    from ..operators import verdict as v
+
+    table = "MAP {" + ", ".join(f"{q(c)}: {q(n)}" for c, n in v.LANGUAGES.items()) + "}"
+    arr = lambda xs: "[" + ", ".join(q(x) for x in sorted(xs)) + "]"
+    names = lambda x: f"array_to_string(list_transform({x}, lambda y: ({table})[y]), ' + ')"
+    foreign = lambda x: f"list_sort(list_filter({x}, lambda y: NOT list_contains({arr(profile.fluent)}, y)))"
+    basic = f"list_filter(missing, lambda y: list_contains({arr(profile.basic)}, y))"
+    return f"""
+v0 AS (SELECT *, {foreign('required')} AS missing, {foreign('preferred')} AS soft, {foreign('waived')} AS free, coalesce(ad_language, list_sort(required)[1]) AS shown FROM ev),
+v1 AS (SELECT *, CASE WHEN len(missing) > 0 THEN 'blocked' WHEN ad_language IS NOT NULL AND NOT list_contains({arr(profile.fluent)}, ad_language) AND NOT english_workplace
+    AND NOT list_contains(waived, ad_language) AND NOT list_contains(preferred, ad_language) THEN 'likely' WHEN len(soft) > 0 THEN 'plus'
+    WHEN english_workplace OR len(free) > 0 OR shown IS NOT NULL THEN 'ok' ELSE 'unknown' END AS level FROM v0),
+vd AS (SELECT k, level, level = 'ok' AND (english_workplace OR len(free) > 0) AS stated, soft,
+  CASE level WHEN 'blocked' THEN 'Needs ' || {names('missing')} WHEN 'likely' THEN 'Ad in ' || ({table})[ad_language] WHEN 'plus' THEN {names('soft')} || ' a plus'
+    WHEN 'unknown' THEN '?' ELSE CASE WHEN english_workplace THEN 'English workplace' WHEN len(free) > 0 THEN 'No ' || {names('free')} || ' needed' ELSE ({table})[shown] END END AS label,
+  CASE level WHEN 'blocked' THEN 'ad requires ' || {names('missing')} || CASE WHEN len({basic}) > 0 THEN ' (you have basic ' || {names(basic)} || ')' ELSE '' END
+    WHEN 'likely' THEN 'ad is written in ' || ({table})[ad_language] || CASE WHEN list_contains({arr(profile.basic)}, ad_language) THEN ' (you have basic)' ELSE '' END
+    WHEN 'plus' THEN {names('soft')} || ' is a plus' WHEN 'unknown' THEN 'no language information in the ad'
+    ELSE CASE WHEN english_workplace THEN 'working language is English' WHEN len(free) > 0 THEN 'ad says ' || {names('free')} || ' is not required' ELSE 'ad is in ' || ({table})[shown] END END AS reason
+  FROM v1)"""

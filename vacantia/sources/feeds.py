@@ -6,10 +6,13 @@ cannot be read gives a row with its error instead of failing the scan.
 
 from __future__ import annotations
 
+import http.client
+import json
 import os
 import time
 import urllib.error
 import urllib.parse
+import urllib.request
 import urllib.robotparser
 from collections.abc import Callable, Iterator
 
@@ -31,10 +34,19 @@ BOARD_URLS: dict[str, str] = {
     "himalayas": "https://himalayas.app/jobs/api/search",
     "arbeitnow": "https://www.arbeitnow.com/api/job-board-api",
     "jobtech": "https://jobsearch.api.jobtechdev.se/search",
+    "smartrecruiters": "https://api.smartrecruiters.com/v1/companies/{slug}/postings",
+    "jobbank": "https://www.jobbank.gc.ca/jobsearch/feed/jobSearchRSSfeed",
 }
 # The boards' own names for a free-text query, and parameters sent when none is given.
-QUERY_NAMES = {"remotive": "search", "remoteok": "tag", "jobicy": "tag", "himalayas": "q", "jobtech": "q"}
-DEFAULTS = {"jobicy": {"count": 50}, "jobtech": {"limit": 100}}
+QUERY_NAMES = {"remotive": "search", "remoteok": "tag", "jobicy": "tag", "himalayas": "q", "jobtech": "q", "jobbank": "dkw", "smartrecruiters": "q"}
+DEFAULTS = {"jobicy": {"count": 50}, "jobtech": {"limit": 100}, "jobbank": {"sort": "D", "rows": 100}, "smartrecruiters": {"limit": 100, "offset": 0}}
+PAGE, MAX_PAGES, DETAILS = 100, 5, {"successfactors": 40, "jobbank": 20}
+REQUIRED = {
+    "rss": ("name", "url"), "browser": ("name", "url", "card_selector"), "json": ("name", "url"), "pagewatch": ("name", "url"), "successfactors": ("name", "base_url"),
+    **{k: ("name", "slug") for k in ("greenhouse", "lever", "ashby", "workable", "smartrecruiters", "breezy", "recruitee")},
+    **{k: ("name",) for k in ("remotive", "remoteok", "jobicy", "himalayas", "arbeitnow", "jobtech", "jobbank")},
+}
+AGENT = "vacantia/0.1 (listing monitor)"
 # End of fixed values.
 
 
@@ -52,11 +64,42 @@ def request_url(kind: str, slug: str = "", query: str = "", **options: object) -
     return base + ("&" if "?" in base else "?") + urllib.parse.urlencode(params)
 
 
+def page_url(kind: str, page: int, slug: str = "", query: str = "", **options: object) -> str:
+    """Address of one page of a paged board; city, country and query are left to the board."""
+    return request_url(kind, slug, query, **{**options, "limit": PAGE, "offset": page * PAGE})
+
+
+def sources_of(config: dict) -> tuple[list[dict], list[str]]:
+    """(usable source entries, problems): disabled ones are left out, bad ones are named and never fatal."""
+    good, problems = [], []
+    for entry in config.get("sources") or []:
+        kind = entry.get("type", "rss")
+        missing = [k for k in REQUIRED.get(kind, ()) if not entry.get(k)]
+        if not entry.get("enabled", True):
+            continue
+        if kind not in REQUIRED:
+            problems.append(f"unknown source type {kind!r} for {entry.get('name')!r}")
+        elif missing:
+            problems.append(f"source {entry.get('name')!r} missing required key {missing[0]!r}")
+        else:
+            good.append({**entry, "type": kind})
+    return good, problems
+
+
+def fetch(url: str, timeout: float = 30.0, pause: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> str:
+    """Text of an address, bytes that are no UTF-8 replaced; waits after the request, as boards ask for."""
+    request = urllib.request.Request(url, headers={"User-Agent": AGENT})
+    with urllib.request.urlopen(request, timeout=timeout) as response:
+        body = response.read().decode("utf-8", errors="replace")
+    sleep(pause)
+    return body
+
+
 def is_transient(error: BaseException) -> bool:
     """Whether the same request may succeed later: overload, time-outs, broken connections."""
     if isinstance(error, urllib.error.HTTPError):
         return error.code == 429 or error.code >= 500
-    return isinstance(error, (urllib.error.URLError, TimeoutError, ConnectionError, EOFError))
+    return isinstance(error, (urllib.error.URLError, http.client.IncompleteRead, TimeoutError, ConnectionError))
 
 
 def with_retry(fetch: Callable[[], str], pause: float = RETRY_PAUSE, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str]:
@@ -78,6 +121,13 @@ def robots_allow(robots: str, url: str, agent: str) -> bool:
     return parser.can_fetch(agent, url)
 
 
+def robots_verdict(status: int | None, robots: str, url: str, agent: str) -> bool:
+    """The same from the answer to the request for robots.txt: a missing file allows, one that cannot be read refuses."""
+    if status in (404, 410):
+        return True
+    return status == 200 and robots_allow(robots, url, agent)
+
+
 def merge_config(public: dict, private: dict) -> dict:
     """Overlay: sources are merged by name, 'key+' appends to a list, anything else replaces."""
     out = dict(public)
@@ -95,7 +145,12 @@ def merge_config(public: dict, private: dict) -> dict:
 
 
 class PayloadSource(DataSource):
-    """``spark.read.format("payload_files").load(folder)``: a file a source, named ``source.kind.ext``."""
+    """``spark.read.format("payload_files")``: one input partition a source.
+
+    ``.load(folder)`` reads files named ``source.kind.ext``; with the option ``requests`` (a
+    JSON list of objects with source, kind and url) the addresses are fetched instead. Every
+    source gives one row, with its error where it could not be read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -105,31 +160,36 @@ class PayloadSource(DataSource):
         return "source string, kind string, payload string, error string"
 
     def reader(self, schema) -> DataSourceReader:
-        return PayloadReader(self.options["path"], int(self.options.get("retries", RETRIES)))
+        return PayloadReader(self.options.get("path", ""), int(self.options.get("retries", RETRIES)), json.loads(self.options.get("requests", "[]")))
 
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class PayloadPartition(InputPartition):
+    def __init__(self, source: str, kind: str, address: str):
+        self.source, self.kind, self.address = source, kind, address
 
 
 class PayloadReader(DataSourceReader):
-    def __init__(self, folder: str, retries: int):
-        self.folder, self.retries = folder, retries
-
-    def partitions(self) -> list[FilePartition]:
-        names = sorted(n for n in os.listdir(self.folder) if not n.startswith((".", "_")))
-        return [FilePartition(os.path.join(self.folder, n)) for n in names]
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        parts = os.path.basename(partition.path).split(".")
-
-        def fetch() -> str:
-            with open(partition.path, encoding="utf-8", errors="replace") as f:
+    def __init__(self, folder: str, retries: int, requests: list[dict]):
+        self.folder, self.retries, self.requests = folder, retries, requests
+
+    def partitions(self) -> list[PayloadPartition]:
+        if self.requests:
+            return [PayloadPartition(r["source"], r["kind"], r["url"]) for r in self.requests]
+        out = []
+        for n in sorted(n for n in os.listdir(self.folder) if not n.startswith((".", "_"))):
+            parts = n.split(".")
+            out.append(PayloadPartition(parts[0], parts[1] if len(parts) > 2 else "", os.path.join(self.folder, n)))
+        return out
+
+    def read(self, partition: PayloadPartition) -> Iterator[tuple]:
+        def get() -> str:
+            if "://" in partition.address:
+                return fetch(partition.address)
+            with open(partition.address, encoding="utf-8", errors="replace") as f:
                 return f.read()
 
-        payload, error = with_retry(fetch)
-        yield parts[0], parts[1] if len(parts) > 2 else "", payload, error
+        payload, error = with_retry(get)
+        yield partition.source, partition.kind, payload, error
 
 
 def register(spark: SparkSession) -> None:
