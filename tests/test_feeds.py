@@ -1,4 +1,5 @@
 import datetime as dt
+import http.client
 import urllib.error
 
 import pytest
@@ -38,6 +39,15 @@ def test_robots():
     assert feeds.robots_allow("", "https://x.example/private", "me")
 
 
+def test_robots_and_sources():
+    assert feeds.robots_verdict(404, "", "https://x.example/a", "me") and not feeds.robots_verdict(None, "", "u", "me") and not feeds.robots_verdict(503, "", "u", "me")
+    assert not feeds.robots_verdict(200, "User-agent: *\nDisallow: /", "https://x.example/a", "me")
+    good, bad = feeds.sources_of({"sources": [{"name": "a", "url": "u"}, {"name": "b", "type": "lever"}, {"name": "c", "type": "what"}, {"name": "d", "type": "lever", "enabled": False}]})
+    assert [g["name"] for g in good] == ["a"] and len(bad) == 2
+    assert feeds.page_url("smartrecruiters", 2, "acme", city="Oslo") == "https://api.smartrecruiters.com/v1/companies/acme/postings?limit=100&offset=200&city=Oslo"
+    assert feeds.is_transient(http.client.IncompleteRead(b"")) and not feeds.is_transient(EOFError())
+
+
 def test_merge_config():
     public = {"keywords": ["qa"], "locations": ["a"], "sources": [{"name": "x", "type": "rss", "url": "u"}, {"name": "y"}]}
     private = {"keywords+": ["test"], "locations": ["b"], "sources": [{"name": "x", "url": "v"}, {"name": "z"}]}

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import components, entity, filters, lang, rank, report, skew, store
+from vacantia.operators import components, entity, filters, lang, rank, report, skew, store, verdict
 
 LISTING = "title string, company string, url string, source string, location string, posted date, tags array<string>, description string, ord bigint"
 
@@ -135,20 +135,71 @@ def test_detect(spark, sentence, code):
     assert lang.detect(df, "t").first()["language"] == code
 
 
+RANKED = (
+    "vacancy_key string, title string, company string, url string, source string, tags array<string>, text string, location string, posted date, sources array<string>, listings bigint,"
+    " ad_language string, required array<string>, preferred array<string>, waived array<string>, english_workplace boolean,"
+    " prior struct<status: string, title: string, when: date, first_seen: date, exact: boolean>"
+)
+
+
 def test_rank_and_report(spark):
+    day = dt.date(2025, 3, 1)
     df = spark.createDataFrame([
-        ("k1", "QA Tester", "Acme", "u1", "b", ["qa"], "pytest and python", "Remote (USA only)", dt.date(2025, 1, 1), ["a", "b"], 2),
-        ("k2", "Senior Lead", "Io", "u2", "b", ["qa"], "leadership", "Oslo", None, ["b"], 1),
-    ], "vacancy_key string, title string, company string, url string, source string, tags array<string>, text string, location string, posted date, sources array<string>, listings bigint")
+        ("k1", "QA Tester", "Acme", "u1", "b", ["qa"], "pytest and python", "Remote (USA only)", dt.date(2025, 1, 1), ["a", "b"], 2, "en", [], [], [], False, None),
+        ("k2", "Senior Lead", "Io", "u2", "b", ["qa"], "leadership", "Oslo", None, ["b"], 1, None, [], [], [], False, None),
+        ("k3", "QA Tester", "Io", "u3", "b", [], "x", "", None, ["b"], 1, "en", ["da"], [], [], False, None),
+        ("k4", "QA Tester", "Jo", "u4", "b", [], "x", "", None, ["b"], 1, "da", [], [], [], False, None),
+        ("k5", "QA Tester", "Ko", "u5", "b", [], "x", "", None, ["b"], 1, "en", [], [], ["da"], False, ("applied", "QA", day, day, False)),
+        ("k6", "QA Tester", "Lo", "u6", "b", [], "x", "", None, ["b"], 1, "en", [], ["sv"], [], False, ("new", "QA", day, day, True)),
+    ], RANKED)
     out = rank.score(df, rank.Settings(keywords=("qa", "tester")), F.lit("2025-06-30").cast("date"))
     rows = {r["vacancy_key"]: r for r in out.collect()}
     assert rows["k1"]["score"] == 50 + 20 + 10 - 25 - 10
     assert rows["k1"]["reasons"][0] == "+20 'qa', 'tester' in title"
     assert "-25 remote only for USA only" in rows["k1"]["reasons"]
     assert rows["k2"]["score"] == 50 - 10 - 20 and rows["k2"]["tier"] == "unviable"
-    text = report.render(out, "2025-06-30")
-    assert text == report.render(out.orderBy(F.desc("vacancy_key")), "2025-06-30")
-    assert "## long shot (1)" in text and "also on a" in text
+    assert rows["k3"]["tier"] == "unviable" and rows["k3"]["reasons"][1] == "-60 ad requires Danish (you have basic Danish)"
+    assert (rows["k4"]["score"], rows["k4"]["tier"], rows["k4"]["verdict"]["label"]) == (35, "long shot", "Ad in Danish")
+    assert rows["k5"]["tier"] == "unviable" and rows["k5"]["reasons"][1:] == ["+5 ad says Danish is not required", '-50 you applied to a similar one ("QA") (2025-03-01)']
+    assert rows["k6"]["score"] == 60 and rows["k6"]["tier"] == "viable"
+    pairs = spark.createDataFrame([("k4", "k6")], "a string, b string")
+    text = report.render_markdown(out, "2025-06-30", pairs)
+    assert text == report.render_markdown(out.orderBy(F.desc("vacancy_key")), "2025-06-30", pairs)
+    assert "**6 new** vacancies (7 listing(s) across 2 source(s)): 1 viable, 2 long shot, 3 unviable." in text
+    assert "## Worth applying (1)" in text and "also on: a" in text and "possible duplicate of: Jo: QA Tester" in text and "this first seen 2025-03-01" in text
+    assert "... and 4 more" in report.render_console(out, "2025-06-30", most=2)
+    assert report.render_console(out.limit(0), "d") == "[d] No new postings."
+    assert report.report_table(out, pairs).count() == 6
+
+
+def test_report_files(spark, tmp_path):
+    df = spark.createDataFrame([("k1", "QA", "Acme", "u1", "b", ["qa"], "x", "", None, ["b"], 1, "en", [], [], [], False, None)], RANKED)
+    out = rank.score(df, rank.Settings(), F.lit("2025-06-30").cast("date"))
+    assert report.write_report(out.limit(0), str(tmp_path), "d") is None
+    path = report.write_report(out, str(tmp_path), "d")
+    assert spark.read.text(path).first()[0].startswith("- **50** · **Acme**: [QA](u1) `b`")
+
+
+def test_verdict_profile():
+    p = verdict.Profile.from_config({"languages": {"fluent": ["English", "dansk"], "basic": ["DA", "tysk", "klingon"]}})
+    assert (p.fluent, p.basic) == ({"en", "da"}, {"de"})
+    assert verdict.Profile.from_config({"languages": {"basic": ["sv"]}}).fluent == {"en"} and verdict.Profile.from_config(None) == verdict.Profile()
+
+
+def test_tracker_verbs(spark):
+    s = seen_rows(spark).withColumn("note", F.lit("n"))
+    new = spark.createDataFrame([("f9", "acme|qa", 0), ("f1", "acme|qa", 1), ("f8", "zed|x", 2), ("f9", "acme|qa", 3)], "fingerprint string, vacancy_key string, ord int")
+    got = {r["fingerprint"]: (r["status"], r["note"], str(r["first_seen"])) for r in store.mark_seen(new, s, "2025-07-01 00:00:00").collect()}
+    assert got == {"f9": ("applied", "n", "2025-07-01 00:00:00"), "f8": ("new", "", "2025-07-01 00:00:00")}
+    settled = {r["record_id"]: r["status"] for r in store.rekey(s, F.col("vacancy_key"), F.lit("c")).collect()}
+    assert settled == {1: "applied", 2: "applied", 3: "rejected", 4: "new"}
+    old = store.rekey(s.drop("status", "status_at", "note"), F.col("vacancy_key"), F.lit("c"))
+    assert {r["status"] for r in old.collect()} == {"new"}
+    rows, after, boards = store.add(spark.createDataFrame([("f9", "io|dev", 0)], "fingerprint string, vacancy_key string, ord int"), s, "2025-07-01 00:00:00", "offer", "2025-05-05")
+    assert rows.count() == 1 and {r["fingerprint"]: r["status"] for r in after.collect()} == {"f1": "new", "f2": "applied", "f3": "offer", "f4": "new", "f9": "offer"}
+    events = spark.createDataFrame([], "vacancy_key string, status string, status_at date, note string, seq bigint")
+    assert store.mark(events, s, "acme", "applied", "2025-01-01").count() == 1 and store.mark(events, s, "u", "applied", "2025-01-01") is None
+    assert [r["record_id"] for r in store.find(s, "u_").collect()] == [3, 2, 1, 4] and store.find(s, "50%").count() == 0
 
 
 def test_settings_from_config():

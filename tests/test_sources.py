@@ -96,16 +96,45 @@ def test_rss(spark):
     assert {r["company"] for r in parse.parse_rss(payloads(spark, RSS), employer="Own").collect()} == {"Own"}
 
 
-def test_atom(spark):
-    text = """<feed><entry><title><![CDATA[QA analyst]]></title><link href="https://x.example/1"/><updated>2026-01-02T00:00:00Z</updated>
-    <summary type="html">&lt;strong&gt;Location:&lt;/strong&gt; Montr&eacute;al (QC) &lt;strong&gt;Salary:&lt;/strong&gt; 10</summary></entry></feed>"""
-    r = parse.parse_atom(payloads(spark, text), "Default employer").first()
-    assert (r["title"], r["company"], r["location"], r["url"]) == ("QA analyst", "Default employer", "Montréal (QC), Canada", "https://x.example/1")
+def test_atom_and_feed_rules(spark):
+    text = """<feed><entry><title type="html">QA &amp;amp; test</title><link rel="self" href="https://x.example/self"/><link href="https://x.example/1"/><published>2026-01-02T00:00:00Z</published>
+    <author><name>Someone</name></author><category term="qa"/><summary>Office in Aarhus</summary><content type="html">A much longer text of the advert</content></entry></feed>"""
+    r = parse.parse_atom(payloads(spark, text)).first()
+    assert (r["company"], r["url"], r["location"], r["description"], r["tags"]) == ("Someone", "https://x.example/1", "Aarhus", "A much longer text of the advert", ["qa"])
+    rss = """<rss><channel><item><title>QA in Odense</title><link>l</link><source url="u">The Paper</source><description>x</description></item>
+    <item><title>QA</title><link>m</link><location>Ghent</location><description>in Lund</description></item></channel></rss>"""
+    got = {x["url"]: x for x in parse.parse_rss(payloads(spark, rss), default_company="Fallback").collect()}
+    assert (got["l"]["company"], got["l"]["location"]) == ("The Paper", "Odense") and (got["m"]["company"], got["m"]["location"]) == ("Fallback", "Ghent")
+
+
+def test_job_bank(spark):
+    feed = """<feed><entry><title><![CDATA[QA analyst]]></title><link href="https://x.example/1"/><updated>2026-01-02T00:00:00Z</updated>
+    <summary type="html">&lt;strong&gt;Location:&lt;/strong&gt; Montr&amp;eacute;al (QC)&lt;br/&gt;&lt;strong&gt;Salary:&lt;/strong&gt; 10&lt;br /&gt;</summary></entry></feed>"""
+    r = parse.parse_job_bank(payloads(spark, json.dumps({"feed": feed, "who": {"https://x.example/1": "You can apply without a valid Canadian work permit."}}))).first()
+    assert (r["title"], r["company"], r["location"]) == ("QA analyst", "Job Bank employer", "Montréal (QC), Canada")
+    assert r["description"] == "Salary: 10. " + parse.NO_PERMIT
+    assert parse.parse_job_bank(payloads(spark, feed)).first()["description"] == "Salary: 10."
+    page = spark.createDataFrame([("<p>Who can apply for this job?</p> Citizens &amp; others Show how to apply x",), (None,)], "p string")
+    assert [x[0] for x in page.select(parse.who_can_apply(page["p"])).collect()] == ["Citizens & others", ""]
+
+
+def test_pages_cards_and_paging(spark):
+    page = '<script>itemprop="title">no</script><span itemprop="title">QA &amp; X</span> Job Location:</span> <span>Nordborg, DK, Wilmington, DE, US</span><div itemprop="description"><p>Text</p></div>'
+    df = spark.createDataFrame([("s", "u", page), ("s", "v", "<p>none</p>")], "source string, url string, page string")
+    got = parse.parse_pages(df, "Acme").collect()
+    assert [(r["title"], r["location"], r["description"]) for r in got] == [("QA & X", "Nordborg, Denmark, Wilmington, DE, United States", "Text")]
+    cards = parse.parse_cards(payloads(spark, json.dumps([{"title": "QA", "company": "A", "url": "u", "location": "Oslo"}, {"title": "only"}]))).collect()
+    assert [(r["title"], r["company"], r["location"]) for r in cards] == [("QA", "A", "Oslo"), ("only", "", "")]
+    pages = spark.createDataFrame([("s", i, json.dumps({"content": [1] * n, "totalFound": 250})) for i, n in enumerate((100, 100, 50, 100))] + [("t", 0, "{"), ("t", 1, "{}")], "source string, page int, payload string")
+    assert sorted((r["source"], r["page"]) for r in parse.merge_pages(pages).collect()) == [("s", 0), ("s", 1), ("s", 2), ("t", 0)]
+    text = json.dumps({"data": [{"title": "A", "company_name": "x", "url": "u", "remote": True}, {"title": "B", "company_name": "x", "url": "u"}]})
+    kind = spark.createDataFrame([("s", "arbeitnow", text)], "source string, kind string, payload string")
+    assert [r["title"] for r in parse.parse(kind, remote_only=True).collect()] == ["A"] and parse.parse(kind).count() == 2
 
 
 def test_sitemap_and_cards(spark):
     text = "<urlset><url><loc>https://x.example/job/Quality-Intern-X/1/</loc></url><url><loc>https://x.example/job/Cook/2/</loc></url><url><loc>https://x.example/job/Supporter/3/</loc></url></urlset>"
     assert [r["url"] for r in parse.sitemap_urls(payloads(spark, text), ["quality", "support"]).orderBy("url").collect()] == ["https://x.example/job/Quality-Intern-X/1/", "https://x.example/job/Supporter/3/"]
-    els = [("div", ["job-card", "row"], True, "A position in Oslo", i) for i in range(3)] + [("li", ["menu"], True, "Something long", i) for i in range(5)] + [("div", ["x"], False, "unlinked text", 9)]
+    els = [("div", ["job-card", "row"], True, "A position in Oslo", i) for i in range(3)] + [("li", ["menu-x"], True, "Something long", i) for i in range(5)] + [("li", ["post"], True, "Something long", i) for i in range(5)] + [("div", ["x"], False, "unlinked text", 9)]
     got = parse.card_candidates(spark.createDataFrame(els, "tag string, classes array<string>, has_link boolean, text string, ord bigint")).collect()
-    assert [(r["selector"], r["cards"], r["score"]) for r in got] == [("div.job-card", 3, 6), ("li.menu", 5, 5)]
+    assert [(r["selector"], r["cards"], r["score"]) for r in got] == [("div.job-card", 3, 6), ("li.post", 5, 5)]

@@ -90,3 +90,10 @@ def test_places(spark):
     assert tuple(one(spark, dates.split_title_company, "QA Engineer, Nordic, Acme ApS")) == ("QA Engineer, Nordic", "Acme ApS")
     assert tuple(one(spark, dates.split_title_company, "QA Engineer")) == ("QA Engineer", "")
     assert tuple(one(spark, dates.split_title_company, "QA, " + "x" * 61))[1] == ""
+
+
+@pytest.mark.parametrize("value", ["a &amp; b", "&#8217;&hellip;&nbsp;x", "&#x41;&#X42;&#150;", "&foo; &copy &ampere; 5 & 6 &", "&notin;", "&amp;lt;", "&#0;&#1114112;", "plain", "", "&Aacute;&euml;"])
+def test_unescape_as_the_standard_does(spark, value):
+    import html
+
+    assert one(spark, text.unescape, value) == html.unescape(value)
