@@ -88,7 +88,7 @@ def test_new_listings_and_replay(spark):
     seen = made(spark, listing("B")).select("fingerprint")
     fresh = store.new_listings(df, seen)
     assert [(r["title"], r["source"]) for r in fresh.collect()] == [("A", "first")]
-    assert store.mark_seen(df, seen.union(fresh.select("fingerprint"))).count() == 0
+    assert store.new_listings(df, seen.union(fresh.select("fingerprint"))).count() == 0
 
 
 SEEN = "fingerprint string, record_id bigint, title string, company string, url string, status string, status_at date, first_seen timestamp_ntz, vacancy_key string"
@@ -187,7 +187,7 @@ def test_verdict_profile():
 
 
 def test_tracker_verbs(spark):
-    s = seen_rows(spark).withColumn("note", F.lit("n"))
+    s = seen_rows(spark).withColumns({"note": F.lit("n"), "source": F.lit("b")})
     new = spark.createDataFrame([("f9", "acme|qa", 0), ("f1", "acme|qa", 1), ("f8", "zed|x", 2), ("f9", "acme|qa", 3)], "fingerprint string, vacancy_key string, ord int")
     got = {r["fingerprint"]: (r["status"], r["note"], str(r["first_seen"])) for r in store.mark_seen(new, s, "2025-07-01 00:00:00").collect()}
     assert got == {"f9": ("applied", "n", "2025-07-01 00:00:00"), "f8": ("new", "", "2025-07-01 00:00:00")}

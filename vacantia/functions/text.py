@@ -139,7 +139,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """HTML entities, named and numeric, to characters; one pass undoes one escape."""
+    """HTML entities, named and numeric, to characters; one pass undoes one escape.
+
+    Without its semicolon a name is read where no letter, digit or '=' follows.
+    """
 
     def filled(text: Column) -> Column:
         parts, found = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))

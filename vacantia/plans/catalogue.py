@@ -601,6 +601,79 @@ def ats_board(spark, sf_dir):
     return out.groupBy("title", "url", F.col("posted").cast("string").alias("posted")).agg(F.count("*").alias("n"))
 
 
+def _c(old: str, new: str):
+    return F.col(old).alias(new)
+
+
+#: Of each kind of board: list of its items ('' for a bare array), item, whether it names the company, how it writes a place.
+_BOARDS = {
+    "lever": ("", lambda: F.struct(_c("title", "text"), _c("url", "hostedUrl"), F.struct("location").alias("categories"), F.unix_millis(F.to_timestamp("posted")).alias("createdAt")), False, "plain"),
+    "ashby": ("jobs", lambda: F.struct("title", _c("url", "jobUrl"), "location", _c("even", "isRemote"), _c("posted", "publishedAt")), False, "flag"),
+    "workable": ("jobs", lambda: F.struct("title", "url", _c("location", "city"), _c("even", "telecommuting"), _c("posted", "published_on")), False, "flag"),
+    "smartrecruiters": ("content", lambda: F.struct("id", _c("title", "name"), F.struct(_c("location", "city"), _c("even", "remote")).alias("location"), _c("posted", "releasedDate")), False, "flag"),
+    "breezy": ("", lambda: F.struct(_c("title", "name"), "url", F.struct(_c("location", "name"), _c("even", "is_remote")).alias("location"), _c("posted", "published_date")), False, "flag"),
+    "recruitee": ("offers", lambda: F.struct("title", _c("url", "careers_url"), "location", _c("even", "remote"), _c("posted", "published_at")), False, "flag"),
+    "remoteok": ("", lambda: F.struct(_c("title", "position"), "company", "url", "location", _c("posted", "date")), True, "remote"),
+    "jobicy": ("jobs", lambda: F.struct(_c("title", "jobTitle"), _c("company", "companyName"), "url", _c("location", "jobGeo"), _c("posted", "pubDate")), True, "remote"),
+    "himalayas": ("jobs", lambda: F.struct("title", _c("company", "companyName"), _c("url", "applicationLink"), F.array("location").alias("locationRestrictions"), _c("posted", "pubDate")), True, "remote"),
+    "arbeitnow": ("data", lambda: F.struct("title", _c("company", "company_name"), "url", "location", _c("even", "remote"), _c("posted", "created_at")), True, "flag"),
+    "jobtech": ("hits", lambda: F.struct(_c("title", "headline"), F.struct(_c("company", "name")).alias("employer"), _c("url", "webpage_url"), F.struct(_c("location", "municipality")).alias("workplace_address"),
+                                         _c("posted", "publication_date")), True, "plain"),
+}
+_PLACES = {
+    "plain": d.norm("location"),
+    "flag": d.norm("CASE WHEN listing_id % 2 = 0 THEN CASE WHEN coalesce(location, '') <> '' AND lower(location) <> 'remote' THEN 'Remote (' || location || ')' ELSE 'Remote' END ELSE coalesce(location, '') END"),
+    "remote": f"CASE WHEN {d.norm('location')} = '' THEN 'Remote' WHEN lower({d.norm('location')}) IN ('anywhere', 'worldwide', 'remote', 'anywhere in the world') THEN 'Remote (Worldwide)' ELSE 'Remote (' || {d.norm('location')} || ')' END",
+}
+
+
+def _board_query(kind: str) -> None:
+    items, item, names_company, place = _BOARDS[kind]
+    company = d.norm("company") if names_company else "'Some Employer'"
+    url = "'https://jobs.smartrecruiters.com/acme/' || listing_id" if kind == "smartrecruiters" else d.url("url")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "listings").select(
+            F.floor(F.col("listing_id") / 500).alias("page"), F.col("listing_id").cast("string").alias("id"), (F.col("listing_id") % 2 == 0).alias("even"),
+            *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "company", "url", "location")], F.col("posted").cast("string").alias("posted"),
+        )
+        listed = F.collect_list(item())
+        payload = F.to_json(F.struct(listed.alias(items)) if items else listed)
+        made = rows.groupBy("page").agg(payload.alias("payload")).select(F.lit(kind).alias("source"), F.lit(kind).alias("kind"), F.lit("Some Employer").alias("company"), F.lit("acme").alias("slug"), "payload")
+        out = filters.normalise_listings(parse.parse(made))
+        return out.groupBy("title", "company", "url", "location", F.col("posted").cast("string").alias("posted")).agg(F.count("*").alias("n"))
+
+    run.__name__ = f"board_{kind}"
+    query(f"""SELECT {d.norm_title('title')} AS title, {company} AS company, {url} AS url, {_PLACES[place]} AS location, posted::VARCHAR AS posted, count(*) AS n
+FROM listings WHERE {d.norm_title('title')} <> '' AND {company} <> '' GROUP BY ALL""")(run)
+
+
+for _kind in _BOARDS:
+    _board_query(_kind)
+
+
+@query(f"""SELECT {d.norm_title('title')} AS title, {d.norm('company')} AS company, {d.url('url')} AS url, {d.norm('location')} AS location, count(*) AS n
+FROM listings WHERE {d.norm_title('title')} <> '' AND {d.norm('company')} <> '' GROUP BY ALL""")
+def page_cards(spark, sf_dir):
+    """Dumps of page cards, 500 a page."""
+    rows = table(spark, sf_dir, "listings").select(F.floor(F.col("listing_id") / 500).alias("page"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "company", "url", "location")])
+    dumps = rows.groupBy("page").agg(F.to_json(F.collect_list(F.struct("title", "company", "url", "location"))).alias("payload")).select(F.lit("cards").alias("source"), "payload")
+    return filters.normalise_listings(parse.parse_cards(dumps)).groupBy("title", "company", "url", "location").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT listing_id AS ord, unnest(tags) AS c, coalesce(title, '') AS text FROM listings), f AS (SELECT *, 'div.' || c AS selector FROM e
+  WHERE length(text) >= 8 AND regexp_full_match(c, '[A-Za-z_][0-9A-Za-z_-]*')
+  AND NOT regexp_matches(lower(c), '^(icon|btn|button|col|row|container|wrapper|flex|grid|hidden|sr-only|active|nav|menu|footer|header|logo|social)')),
+g AS (SELECT selector, count(*) AS cards, min(ord) AS first FROM f GROUP BY 1 HAVING count(*) >= 3)
+SELECT selector, cards, cards * CASE WHEN regexp_matches(lower(selector), 'job|card|vacanc|posting|listing|result|item') THEN 2 ELSE 1 END AS score FROM g
+ORDER BY score DESC, cards DESC, first LIMIT 10""")
+def card_candidates(spark, sf_dir):
+    """The tags of listings taken for the classes of a page's elements."""
+    els = table(spark, sf_dir, "listings").where("tags IS NOT NULL").select(F.lit("div").alias("tag"), F.col("tags").alias("classes"), F.lit(True).alias("has_link"), F.coalesce("title", F.lit("")).alias("text"), F.col("listing_id").alias("ord"))
+    return parse.card_candidates(els).select("selector", "cards", "score")
+
+
 @query("SELECT source, count(*) AS listings, count(*) FILTER (WHERE location IS NULL OR trim(location) = '') AS without_place FROM (SELECT lower(%s) AS source, location FROM listings) GROUP BY 1" % d.norm("source"))
 def source_summary(spark, sf_dir):
     s = table(spark, sf_dir, "listings").select(F.lower(text.normalise_text(F.col("source"))).alias("source"), "location")
