@@ -135,6 +135,9 @@ def test_history_batches(spark, tmp_path):
     assert two.absorb(prep(new.limit(0))).count() == 0
     assert spark.read.parquet(str(tmp_path / "two" / "table")).count() == spark.read.parquet(str(tmp_path / "one" / "table")).count()
     # Without history only repeats within the batch are left.
+    none = history.Store(spark, str(tmp_path / "none"))
+    none.absorb(prep(old.limit(0)))
+    assert {r["id"]: r["accepted"] for r in none.absorb(prep(new)).collect()} == {12: 11, 13: 11, 16: 15, 17: 11}
     assert {r["id"]: r["accepted"] for r in history.Store(spark, str(tmp_path / "three")).absorb(prep(new)).collect()} == {12: 11, 13: 11, 16: 15, 17: 11}
 
 
