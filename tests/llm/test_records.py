@@ -291,6 +291,21 @@ def test_names_of_a_hot_block_meet(spark, monkeypatch):
     assert set(want) <= linked
 
 
+def test_a_common_word_alone_brings_no_names_together(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bcdfghjklmnprstvz") + rnd.choice("aeiou") for _ in range(rnd.choice([2, 3, 4])))
+    others = sorted({f"christoffer {word()} {word()} law" for _ in range(300)})
+    want = [("christoffer lokeser lekukan law", "christoffer lokser lekukan"), ("christoffer anna law", "christoffer a"), ("christoffer bob law", "christoffer robert"), ("christoffer lekukan", "cristoffer lekukann")]
+    every = sorted(set(others) | {n for p in want for n in p})
+    met = {(r["a"], r["b"]) for r in names.candidates(spark.createDataFrame([(n,) for n in every], "name string")).collect()}
+    accepted = {p for p in itertools.combinations(every, 2) if names.compare(*p)}
+    assert {tuple(sorted(p)) for p in want} <= accepted <= met and len(met) < len(every) ** 2 / 12
+
+
+def test_long_nicknames_stand_for_names():
+    assert names.compare("sander lokeser lekukan law", "alexander lokeser lekukan law") == 1
+
+
 # ---- p6 ----
 
 CLAIM = "grp string, source string, f string, e string, at timestamp, id bigint, rank int, first_id string"
