@@ -282,3 +282,11 @@ def test_recurrence_tells_unlisted_notices(spark):
     rows += [(300 + i, f"The portal is offline, please check at {i} o'clock.", f"s{i}") for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert {(r["doc"], r["kind"]) for r in residue.residue(df).collect()} == {(i, "notice") for i in range(12)}
+
+
+def test_the_word_model_is_of_all_texts(spark):
+    line = "we are looking for a person who would like to work with the team and "
+    # Far more texts than any sample would take; the rare words are in 5 of them.
+    df = spark.range(60_000).selectExpr("id", f"concat('{line}', CASE WHEN id % 12000 = 0 THEN 'qwertzuiop' ELSE 'colleagues' END) AS t")
+    model = doclang.fit(df, "id", "t")
+    assert "qwertzuiop" in model.at and "colleagues" in model.at

@@ -1,7 +1,7 @@
 """Language of each text and of each segment of a mixed one, with a confidence.
 
 Method: Bayesian evidence fusion. Every line gets a likelihood per language from its
-words: function words, and further words learnt from a bounded sample. What else speaks
+words: function words, and further words learnt from all texts. What else speaks
 for a language is the prior of the text: its declared language (which may be wrong), the
 language its markup declares, the suffix of its address, and a prior of its host, which is
 smoothed towards its domain's, that towards its suffix's and that towards the prior of
@@ -93,8 +93,7 @@ SUFFIX_RIGHT = 0.5
 HOST_SMOOTHING = 20.0
 #: Lines the prior of a text stands for, beside those of the text.
 PRIOR_LINES = 1.0
-#: Texts the word model is fitted on, but for chance; words it keeps, at most; times a word must be seen.
-SAMPLE = 20_000
+#: Words the word model keeps, at most; times a word must be seen.
 VOCABULARY = 30_000
 SEEN = 5
 #: Lead of the best language, in nats: of the words to count for the fit, of the posterior to be a language at all.
@@ -136,34 +135,39 @@ def seed_model() -> WordModel:
     return WordModel(words, np.log(p / p.mean(axis=1, keepdims=True)).astype(np.float32))
 
 
-def fit(texts: DataFrame, key: str, text: str, sample: int = SAMPLE) -> WordModel:
-    """A word model from a bounded sample of texts, labelled by their function words.
+def fit(texts: DataFrame, key: str, text: str) -> WordModel:
+    """A word model from all texts, labelled by their function words.
 
-    The sample is every text whose key's hash falls into a share of ``sample`` / texts of
-    the hash's range: ``sample`` texts but for chance, the same ones in every run, taken
-    where they are read (all texts, when there are no more). Lines in which
-    the function words leave no doubt (``SURE``) count for their language; words seen
-    ``SEEN`` times or more, at most ``VOCABULARY`` of them, get smoothed likelihoods,
-    which are added to those of the function words.
+    Lines in which the function words leave no doubt (``SURE``) count for their language;
+    words seen ``SEEN`` times or more, at most ``VOCABULARY`` of them, get smoothed
+    likelihoods, which are added to those of the function words.
     """
     seed = seed_model()
-    share = min(1.0, sample / max(1, texts.count()))
-    some = texts.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))).select(F.col(text).alias("t"))
+    some = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            seen: dict[str, np.ndarray] = {}
+            lines, at, ends = [], [], [0]
             for t in df["t"]:
-                lines = t.split("\n")
+                own = t.split("\n")
                 for n, found in seed.hits(t):
-                    ll = seed.matrix[found].sum(axis=0)
-                    top = np.partition(ll, -2)
-                    if len(found) >= 2 and top[-1] - top[-2] >= SURE:
-                        lang = int(ll.argmax())
-                        for w in set(_TOKEN.findall(_TAG.sub(" ", lines[n]).lower().replace("’", "'"))):
-                            seen.setdefault(w, np.zeros(len(LANGUAGES), dtype=np.int64))[lang] += 1
+                    if len(found) >= 2:
+                        lines.append(own[n])
+                        at += found
+                        ends.append(len(at))
+            if not lines:
+                continue
+            ll = np.add.reduceat(seed.matrix[at], ends[:-1], axis=0)
+            top = np.partition(ll, -2, axis=1)
+            seen: dict[str, list[int]] = {}
+            for n in np.nonzero(top[:, -1] - top[:, -2] >= SURE)[0]:
+                lang = int(ll[n].argmax())
+                for w in set(_TOKEN.findall(_TAG.sub(" ", lines[n]).lower().replace("’", "'"))):
+                    if w not in seen:
+                        seen[w] = [0] * len(LANGUAGES)
+                    seen[w][lang] += 1
             if seen:
-                yield pd.DataFrame({"w": list(seen), "c": [c.tolist() for c in seen.values()]})
+                yield pd.DataFrame({"w": list(seen), "c": list(seen.values())})
 
     sums = [F.sum(F.col("c")[i]).cast("double").alias(x) for i, x in enumerate(LANGUAGES)]
     rows = (
