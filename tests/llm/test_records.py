@@ -201,6 +201,58 @@ def test_pivot_join_loses_no_pair(spark):
     assert got == want and len(want) > 100
 
 
+def test_all_batches_at_once_give_what_a_store_gives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "FEW", 20)  # some employers' titles meet by ranges, some all
+    rnd = random.Random(8)
+    roles = ["QA Engineer, Payments", "QA Engineer, Billing", "Senior QA Engineer, Payments", "Abcdefghij", "Abcdefghxyzij", "Tester", "Testeur", "Data Analyst Onboarding", "Dataanalyst Onboarding"]
+
+    def typed(t):
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            i = rnd.randrange(1, len(t))
+            t = t[:i] + rnd.choice(["", t[i - 1], "x" + t[i - 1]]) + t[i:]
+        return t
+
+    rows = [(i, b, typed(rnd.choice(roles)), rnd.choice(["Acme", "Acme", "Bravo"]), None) for b in range(3) for i in range(b * 100, b * 100 + (150 if b == 0 else 30))]
+    rows += [rows[-1], (900, 2, None, "Acme", None), (901, 2, "Tester", None, None), (902, 2, "", "Acme", None)]
+    df = spark.createDataFrame([(i + (b > 0) * 100, b, *rest) for i, b, *rest in rows], "id bigint, batch int, title string, company string, location string")
+    prepared = history.prepare(df, history.TitleReader(), None)
+    store, want = history.Store(spark, str(tmp_path / "s")), []
+    for b in range(3):
+        got = store.absorb(prepared.where(F.col("batch") == b).drop("batch"))
+        want += [tuple(r) for r in got.collect()] if b else []
+    assert sorted(tuple(r) for r in history.repeats(prepared).collect()) == sorted(want) and len(want) > 30
+    assert history.repeats(prepared.limit(0)).count() == 0
+
+
+def _p4(spark, path, old, new):
+    """p4_found over these rows of the two tables and no places, with the number of its jobs."""
+    columns = "title string, company string, location string"
+    spark.createDataFrame(old, f"record_id bigint, {columns}").write.parquet(f"{path}/seen_jobs.parquet")
+    spark.createDataFrame(new, f"record_id bigint, batch_no int, {columns}").write.parquet(f"{path}/arrivals.parquet")
+    spark.createDataFrame([], "place_id bigint, place_name string, country_code string, country_name string, alt_name string").write.parquet(f"{path}/places.parquet")
+    spark.sparkContext.setJobGroup(str(path), "")
+    got = sorted(tuple(r) for r in queries.p4_found(spark, str(path)).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(path)))
+    spark.sparkContext.setJobGroup("", "")
+    return got, jobs
+
+
+def test_batches_cost_no_rounds_of_their_own(spark, tmp_path):
+    new = lambda n: [(r[0], 1 + k * n // len(NEW), *r[1:]) for k, r in enumerate(sorted(NEW, key=lambda r: r[0]))]
+    want = [(1, 11), (1, 12), (1, 13), (1, 17), (15, 16)]
+    got, one = _p4(spark, tmp_path / "one", OLD[:4] + OLD[6:], new(1))
+    assert got == want
+    got, eight = _p4(spark, tmp_path / "eight", OLD[:4] + OLD[6:], new(8))
+    assert got == want and eight < one + 8
+
+
+def test_history_first_whatever_its_ids(spark, tmp_path):
+    old = [(500 + i, *rest) for i, *rest in OLD if i < 4]
+    got, _ = _p4(spark, tmp_path / "t", old, [(i, 1 if i < 14 else None, *rest) for i, *rest in NEW])
+    assert got == [(15, 16), (501, 11), (501, 12), (501, 13), (501, 17)]
+    assert _p4(spark, tmp_path / "none", [], [(i, None, *rest) for i, *rest in NEW])[0] == [(11, 12), (11, 13), (11, 17), (15, 16)]
+
+
 # ---- p5 ----
 
 
